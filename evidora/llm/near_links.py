@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from .bytes_kernel import binary_rows, fixed_binary
 from .common import components, roots, shuffle_parts, whole_groups, written
 
-SMALL, ROUNDS = 12, 24
+#: Rows of a bucket that is compared pair by pair, and how many times as many in each further round: what has stayed
+#: together through several rounds is alike, and splitting it on would copy its rows more often than comparing costs.
+SMALL, GROWTH = 16, 8
 #: Nodes and units of payload in a block of a cluster.
 BLOCK, UNITS = 1024, 2_000_000
 
@@ -44,8 +46,11 @@ def _pairs(width: int, near: Callable):
                     a = i[lo : lo + 65_536]
                     hit = a[near(sketch[a], sketch[a + step])]
                     found.append(np.stack([node[hit], node[hit + step]], 1))
-            links = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+            links = np.concatenate(found)
+            if len(links):  # what is connected in a whole bucket stays so by links to its smallest node
+                nodes, low = roots(links[:, 0], links[:, 1])
+                at = nodes != low
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(low[at])], names=["a", "b"])
 
     return run
 
@@ -85,10 +90,10 @@ def candidate_links(rows: DataFrame, width: int, near: Callable, linked: Callabl
     links, depth = None, 0
     while True:
         depth += 1
-        rows = written(rows, f"paths{depth}")
+        rows = written(rows, f"paths{depth}") if depth == 1 else rows
         sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
         full = rows.join(sizes, "path")
-        most = SMALL if depth < ROUNDS else 1 << 62
+        most = SMALL * GROWTH ** (depth - 1)
         full = written(full, f"full{depth}")
         small = full.filter(F.col("n") <= most).select("path", "node", "sketch").repartition(parts, "path").sortWithinPartitions("path")
         found = small.mapInArrow(_pairs(width, near), "a long, b long")
