@@ -69,6 +69,8 @@ def soft_memberships(rows: DataFrame, centres: dict[int, list], temperature: flo
     if len(centres) > CENTRES:
         raise ValueError(f"{len(centres)} clusters; at most {CENTRES} can be sent to each task")
     labels = sorted(centres)
+    if not labels:
+        return rows.sparkSession.createDataFrame([], "node_id string, label int, probability double")
     x = np.array([centres[k] for k in labels], float)
     return rows.select(F.col("id").cast("string"), "embedding").mapInArrow(_softmax(x.reshape(len(labels), -1), labels, temperature), "node_id string, label int, probability double")
 

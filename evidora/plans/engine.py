@@ -171,7 +171,7 @@ class Engine:
         s = self.settings
         soft = cl.soft_memberships(rows, {int(k): v for k, v in manifest["centres"].items()})
         best = cl.top_memberships(soft, s.membership_top_m, s.membership_min_probability)
-        named = F.create_map(*[x for k, v in manifest["ids"].items() for x in (F.lit(int(k)), F.lit(v))])
+        named = F.create_map(*[x for k, v in manifest["ids"].items() for x in (F.lit(int(k)), F.lit(v))]) if manifest["ids"] else F.create_map(F.lit(-9), F.lit(""))
         return self.store.add_edges("member_of", best.select("node_id", named[F.col("label")].alias("cluster_id"), "probability", F.col("rank").cast("int").alias("rank"), F.lit(manifest["version"]).alias("model_version")))
 
     def assign_pending(self) -> dict:
@@ -237,7 +237,7 @@ class Engine:
         vectors = self._save(documents.embedded(asked.withColumn("text", F.col("question")), self.embed, s.embedding_dim).drop("text"), "asked")
         chunks, entities = self._t("text_chunk"), self._t("entity")
         m, memberships = self._manifest(), None
-        if m is not None:
+        if m is not None and m["ids"]:
             soft = cl.soft_memberships(vectors.select(F.col("query_id").alias("id"), "embedding"), {int(k): v for k, v in m["centres"].items()})
             named = F.create_map(*[x for k, v in m["ids"].items() for x in (F.lit(int(k)), F.lit(v))])
             memberships = search.query_memberships(soft.select(F.col("node_id").alias("query_id"), named[F.col("label")].alias("id"), F.col("probability").alias("p")), self._t("cluster"))

@@ -81,7 +81,7 @@ def test_engine_end_to_end(spark, tmp_path):
     src.mkdir()
     (src / "a.md").write_text("# Insulin\n\nInsulin lowers glucose in blood.\n\n## 1 More\n\nGlucose rises after meals.\n")
     (src / "b.md").write_text("# CRP\n\nCRP marks inflammation.\n\n# Odd\n\npoison words here\n")
-    s = Settings(embedding_dim=16, chunk_tokens=40, seed_min_similarity=0.1, evidence_cos_floor=0.1, elbow_ratio=0.0, bootstrap_min_chunks=2)
+    s = Settings(embedding_dim=16, chunk_tokens=40, seed_min_similarity=0.1, evidence_cos_floor=0.1, elbow_ratio=0.0, bootstrap_min_chunks=2, min_cluster_size=1)
     e = Engine(spark, str(tmp_path / "store"), embed, extract, s)
     got = e.ingest(f"file://{src}")
     assert got["documents"] == 2 and got["failed"] == 1
