@@ -24,7 +24,6 @@ class Settings:
     er_candidates: int = 10
     # clusters
     bootstrap_min_chunks: int = 5000
-    reduced_components: int = 32
     min_cluster_size: int = 0
     membership_top_m: int = 2
     membership_min_probability: float = 0.15

@@ -1,7 +1,7 @@
 """Clusters of chunks and entities: fit, medoids, soft memberships, refits and remaps.
 
-The density-based fit of the original design has no counterpart here: PCA and k-means take its place, with soft
-memberships from a softmax of distances, and the probability floor giving noise. Interfaces are kept, clusters differ.
+The density-based fit of the original design has no counterpart here: k-means on unit vectors takes its place, with
+soft memberships from a softmax of distances, and the probability floor giving noise. Interfaces are kept, clusters differ.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def soft_memberships(rows: DataFrame, centres: dict[int, list], temperature: flo
 
 
 def fit(rows: DataFrame, settings, k: int | None = None) -> tuple[DataFrame, dict[int, list]]:
-    """Hard labels (id, label) and centres of (id, embedding) by k-means on unit vectors (after PCA for wide ones)."""
+    """Hard labels (id, label) and centres of (id, embedding) by k-means on unit vectors; clusters below the least size become noise (-1)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector

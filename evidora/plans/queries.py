@@ -319,6 +319,36 @@ def horizontal_hop(spark, d) -> DataFrame:
     return _hops(spark, d).select("query_id", "source", "target", r6("affinity"))
 
 
+@query(f"""WITH {SEEDS}, known AS (SELECT query_id, id FROM seeds WHERE rank <= 5),
+new AS (SELECT query_id, id, label, max(similarity) AS affinity FROM seeds ANTI JOIN known USING (query_id, id) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY affinity DESC, id) AS k FROM new)
+SELECT query_id, id, label, round(affinity, 6) AS affinity FROM r WHERE k <= 3""")
+def beam_round(spark, d) -> DataFrame:
+    rows = fx.seeds(spark, d)
+    hops = rows.select("query_id", F.col("id").alias("target"), F.col("label").alias("target_label"), F.col("similarity").alias("affinity"))
+    params = rows.select("query_id").distinct().withColumn("beam", F.lit(3))
+    return graph.beam_round(hops, rows.filter("rank <= 5"), params).select("query_id", "id", "label", r6("affinity"))
+
+
+@query(f"""WITH {SEEDS}, p AS (SELECT a.query_id, a.id AS source, b.id AS target, a.label AS x, b.label AS y, a.similarity AS s FROM seeds a JOIN seeds b ON a.query_id = b.query_id AND b.rank = a.rank + 1)
+SELECT query_id, source, target, round(s * CASE WHEN x = y THEN 1.0 WHEN 'Entity' IN (x, y) AND 'TextChunk' IN (x, y) THEN 0.9 WHEN 'TextChunk' IN (x, y) AND 'Cluster' IN (x, y) THEN 0.7 ELSE 0.6 END, 6) AS weight FROM p""")
+def arc_weights(spark, d) -> DataFrame:
+    rows = fx.seeds(spark, d)
+    nxt = rows.select("query_id", (F.col("rank") - 1).alias("rank"), F.col("id").alias("target"), F.col("label").alias("y"))
+    weight = F.col("similarity") * graph.cross_layer(F.col("label"), F.col("y"))
+    return rows.join(nxt, ["query_id", "rank"]).select("query_id", F.col("id").alias("source"), "target", F.round(weight, 6).alias("weight"))
+
+
+@query(f"""WITH {WORDS}, sd AS (SELECT chunk_id AS query_id, min(entity_id) AS entity FROM sourced WHERE chunk_id::BIGINT % 100 = 0 GROUP BY ALL)
+SELECT DISTINCT query_id, chunk_id AS id FROM sd JOIN sourced ON entity = entity_id""")
+def linked_to_seed_entity(spark, d) -> DataFrame:
+    edges = fx.sourced_from(spark, d)
+    seeds = edges.filter(F.col("chunk_id").cast("long") % fx.EVERY == 0).groupBy(F.col("chunk_id").alias("query_id")).agg(F.min("entity_id").alias("id")).withColumn("label", F.lit("Entity"))
+    up = F.lit(True).alias("vertical")
+    arcs = seeds.join(edges, seeds["id"] == edges["entity_id"]).select("query_id", F.col("entity_id").alias("source"), F.lit("Entity").alias("source_label"), F.col("chunk_id").alias("target"), F.lit("TextChunk").alias("target_label"), up)
+    return graph.linked_to_seed_entity(arcs, seeds)
+
+
 ARCS = HITS + """,
 raw AS (SELECT query_id, query_id AS source, id AS target, similarity AS weight FROM hits WHERE similarity > 0
   UNION ALL SELECT query_id, id, query_id, similarity / 2 FROM hits WHERE similarity > 0
@@ -493,6 +523,58 @@ def undo_status(spark, d) -> DataFrame:
     return store.restored(_status(spark, d), known).select("chunk_id", "stage")
 
 
+@query("SELECT doc_id::VARCHAR AS id, source AS doc_id, source || '/' || lang AS section_path, substr(text, 1, 240) AS head FROM documents")
+def chunk_catalog(spark, d) -> DataFrame:
+    return fx.chunks(spark, d).select("id", "doc_id", "section_path", F.substring("text", 1, 240).alias("head"))
+
+
+@query(f"WITH {WORDS} SELECT entity_id, chunk_id FROM sourced WHERE chunk_id::BIGINT % 3 <> 0")
+def edge_merge(spark, d) -> DataFrame:
+    """The edges that a merge creates, where those of every third document exist already."""
+    edges = fx.sourced_from(spark, d).select("entity_id", "chunk_id")
+    old = edges.filter(F.col("chunk_id").cast("long") % 3 == 0)
+    return edges.join(old, ["entity_id", "chunk_id"], "left_anti")
+
+
+@query("SELECT vec_id::VARCHAR AS node_id, label::VARCHAR AS cluster_id FROM embeddings WHERE vec_id % 4 <> 1")
+def delete_version(spark, d) -> DataFrame:
+    rows = _member_of(spark, d).withColumn("model_version", (F.col("node_id").cast("long") % 4).cast("int"))
+    return store.without_version(rows, 1).select("node_id", "cluster_id")
+
+
+@query("SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def noise_nodes(spark, d) -> DataFrame:
+    return clusters.noise(fx.chunks(spark, d).select("id"), _member_of(spark, d))
+
+
+@query(f"""WITH {HITS}, m AS (SELECT *, CASE query_id WHEN '100' THEN '0' WHEN '300' THEN '200' ELSE query_id END AS e FROM hits)
+SELECT DISTINCT e AS entity_id, id AS chunk_id FROM m""")
+def adjudication_merge(spark, d) -> DataFrame:
+    edges = fx.hits(spark, d).select(F.col("query_id").alias("entity_id"), F.col("id").alias("chunk_id"))
+    merges = spark.createDataFrame([("100", "0"), ("300", "200")], "provisional_id string, candidate_id string")
+    return resolution.merged(edges, merges, "entity_id", ["entity_id", "chunk_id"]).select("entity_id", "chunk_id")
+
+
+@query("SELECT doc_id::VARCHAR AS id, CASE doc_id % 2 WHEN 0 THEN 'PENDING' ELSE 'MERGED' END AS status FROM documents WHERE doc_id % 2 = 0")
+def adjudication_queue(spark, d) -> DataFrame:
+    status = F.when(F.col("doc_id") % 2 == 0, "PENDING").otherwise("MERGED")
+    tasks = fx.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), status.alias("status"))
+    return resolution.pending(tasks, 1 << 30)
+
+
+@query("SELECT vec_id::VARCHAR AS id, len(embedding)::INT AS dim FROM embeddings WHERE embedding IS NOT NULL")
+def vector_scan(spark, d) -> DataFrame:
+    return store.vector_rows(fx.vectors(spark, d), 64, True).select("id", F.size("embedding").alias("dim"))
+
+
+@query("SELECT doc_id::VARCHAR AS id, lang, source FROM documents WHERE source IN ('src1', 'src2')")
+def cache_hits(spark, d) -> DataFrame:
+    """Chunks whose content hash (here the source) is in the extraction cache."""
+    rows = fx.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang", "source", F.sha2("source", 256).alias("content_hash"))
+    cache = spark.createDataFrame([("src1", "{}"), ("src2", "{}")], "s string, payload string").select(F.sha2("s", 256).alias("content_hash"), "payload")
+    return resolution.cached_payloads(rows, cache)[0].select("id", "lang", "source")
+
+
 # --- extraction and resolution ----------------------------------------------------------------------------------
 
 CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s-]', ' ', 'g'), '(^|\s)-+|-+(\s|$)', ' ', 'g'), '\s+', ' ', 'g'))"

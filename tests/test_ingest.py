@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 
 from evidora.config import Settings
+from evidora.plans import evaluation
 from evidora.plans.engine import Engine
-from evidora.sources import chunking, documents
+from evidora.sources import chunking, documents, model
 
 MD = "<!-- page: 1 -->\n# Sample\n\nIntro text.\n\n## 1 First\n\nAlpha beta.\n\n$$\nx = 1\n$$\n\n<!-- PAGE 2 -->\n\n## 1.1 Inner\n\n![fig](a.png)\n\nFigure 1: a caption\n\n```\ncode\n\nmore\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n## 2 Second\n\n\\[ open maths\n\nlast words\n"
 
@@ -98,6 +99,9 @@ def test_engine_end_to_end(spark, tmp_path):
     assert sum(r["token_count"] for r in top) <= s.token_budget and all(a["score"] >= b["score"] for a, b in zip(top, top[1:], strict=False))
     traces = {r["query_id"]: r for r in trace.collect()}
     assert traces["1"]["evidence_found"] and traces["2"]["error"] == "empty question" and traces["3"]["error"] == "question too long"
+    gold = spark.createDataFrame([("1", "exact", "what lowers glucose", [top[0]["id"]], None), ("9", "negative", "zzz qqq", [], None)], "id string, type string, question string, relevant_chunk_ids array<string>, pair_of string")
+    means = evaluation.report(e, gold)["means"]
+    assert means["exact"]["hit_at_5"] == 1.0 and means["all"]["n"] == 2
     fitted = e.fit(force=True, k=2)
     assert fitted["state"] == "FITTED" and e.health()["ok"]
     sources2, _ = e.retrieve(q)
@@ -107,3 +111,28 @@ def test_engine_end_to_end(spark, tmp_path):
         e.undo_clusters()
     e.undo_clusters(yes=True)
     assert e._t("cluster").count() == 0 and {r["stage"] for r in e._t("ingest_status").collect()} == {"EMBEDDED", "EXTRACTED"}
+
+
+def test_model_calls_are_repeated_and_spaced():
+    answers, waits, now = iter(["nonsense", "[]", '{"entities": []}']), [], [0.0]
+    m = model.JsonModel(lambda prompt, **_: next(answers), lambda t: t, per_minute=20, sleep=lambda s: (waits.append(s), now.__setitem__(0, now[0] + s)), clock=lambda: now[0])
+    assert m("text") == '{"entities": []}' and waits == [3.0, 3.0]
+    with pytest.raises(RuntimeError):
+        model.JsonModel(lambda prompt, **_: "no", lambda t: t, per_minute=0)("text")
+
+
+def test_stream_ingests_what_has_landed(spark, tmp_path):
+    from evidora.streaming.ingest import ingest_stream
+
+    seen = []
+
+    class Recorder:
+        def ingest(self, folder):
+            seen.append(folder)
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# A\n\ntext\n")
+    for _ in range(2):
+        q = ingest_stream(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/state", Recorder())
+        q.awaitTermination(60)
+    assert len(seen) == 1
