@@ -1,9 +1,10 @@
 """URL filters by Empirical-Bayes host reputation, DataFrame functions only.
 
 Labelled page outcomes (bad or not) are counted by host. Beta-binomial priors shrink the counts from the whole
-corpus to the suffix, from there to the registered domain, and from there to the host; each level's prior strength
-is fitted by moments from how far its groups' counts stray from their parents' rates. A host is blocked when the
-lower bound of its posterior bad rate is above a limit. List rules for host and path prefix go first.
+corpus to the suffix, from there to the registered domain, and from there to the host; a group's prior is
+the rate of its parent's other groups, and each level's strength is fitted by moments from how far counts stray from
+their priors. A host is blocked when the lower bound of its posterior bad rate is above a limit. List rules for host
+and path prefix go first.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 JUNK, JUNK_RUNS = r"[*#$%&]{3}|!! ", 5
 #: Block above this bad rate, at this many posterior standard deviations below the mean.
 RATE, BOUND = 0.25, 1.64
-STRENGTHS = (1.0, 10_000.0)
+#: Bounds of a prior's strength in pages; the lower keeps one or two pages from condemning a host.
+STRENGTHS = (5.0, 10_000.0)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -64,6 +66,13 @@ def _shrunk(groups: DataFrame, strength: float) -> Column:
     return (F.col("k") + strength * F.col("m")) / (F.col("n") + strength)
 
 
+def _below(groups: DataFrame, parents: DataFrame, key: str, strength: float) -> DataFrame:
+    """Add ``m`` to groups: the shrunk rate of the parent's other groups, so that no outcome counts at two levels."""
+    parents = parents.select(key, F.col("n").alias("_n"), F.col("k").alias("_k"), F.col("m").alias("_m"))
+    rate = (F.col("_k") - F.col("k") + strength * F.col("_m")) / (F.col("_n") - F.col("n") + strength)
+    return groups.join(parents, key).withColumn("m", rate).drop("_n", "_k", "_m")
+
+
 def host_reputation(pages: DataFrame) -> DataFrame:
     """(host, rate, bound) from pages with ``host`` and ``bad`` (1, 0, or null where unlabelled).
 
@@ -75,11 +84,10 @@ def host_reputation(pages: DataFrame) -> DataFrame:
     hosts = written(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     mean = (total["k"] or 0) / total["n"] if total["n"] else 0.0
-    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("m", F.lit(mean))
-    suffixes = suffixes.select("suffix", _shrunk(suffixes, _strength(suffixes)).alias("m"))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(suffixes, "suffix")
-    domains = domains.select("domain", _shrunk(domains, _strength(domains)).alias("m"))
-    hosts = hosts.join(domains, "domain")
+    sums = [F.sum("n").alias("n"), F.sum("k").alias("k")]
+    suffixes = hosts.groupBy("suffix").agg(*sums).withColumn("m", F.lit(mean))
+    domains = _below(hosts.groupBy("domain", "suffix").agg(*sums), suffixes, "suffix", _strength(suffixes))
+    hosts = _below(hosts, domains, "domain", _strength(domains))
     s = _strength(hosts)
     rate = _shrunk(hosts, s)
     spread = F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(s) + 1))
@@ -126,16 +134,14 @@ h AS (SELECT host, n, k, array_to_string(parts[-2:], '.') AS domain, parts[-1] A
 g AS (SELECT sum(k) / sum(n)::DOUBLE AS m FROM h),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(g.m) AS m FROM h, g GROUP BY suffix),
 sp AS (SELECT sum((k - n * m) * (k - n * m) - n * m * (1 - m)) AS a, sum(n * (n - 1) * m * (1 - m)) AS b FROM s),
-ss AS (SELECT CASE WHEN b IS NULL OR b = 0 THEN 1.0 WHEN a <= 0 THEN 10000.0 ELSE least(10000.0, greatest(1.0, b / a - 1)) END AS s FROM sp),
-sm AS (SELECT suffix, (k + ss.s * m) / (n + ss.s) AS m FROM s, ss),
+ss AS (SELECT CASE WHEN b IS NULL OR b = 0 THEN 5.0 WHEN a <= 0 THEN 10000.0 ELSE least(10000.0, greatest(5.0, b / a - 1)) END AS s FROM sp),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
-dj AS (SELECT d.*, sm.m FROM d JOIN sm USING (suffix)),
+dj AS (SELECT d.domain, d.n, d.k, (s.k - d.k + ss.s * s.m) / (s.n - d.n + ss.s) AS m FROM d JOIN s USING (suffix), ss),
 dp AS (SELECT sum((k - n * m) * (k - n * m) - n * m * (1 - m)) AS a, sum(n * (n - 1) * m * (1 - m)) AS b FROM dj),
-ds AS (SELECT CASE WHEN b IS NULL OR b = 0 THEN 1.0 WHEN a <= 0 THEN 10000.0 ELSE least(10000.0, greatest(1.0, b / a - 1)) END AS s FROM dp),
-dm AS (SELECT domain, (k + ds.s * m) / (n + ds.s) AS m FROM dj, ds),
-hj AS (SELECT h.host, h.n, h.k, dm.m FROM h JOIN dm USING (domain)),
+ds AS (SELECT CASE WHEN b IS NULL OR b = 0 THEN 5.0 WHEN a <= 0 THEN 10000.0 ELSE least(10000.0, greatest(5.0, b / a - 1)) END AS s FROM dp),
+hj AS (SELECT h.host, h.n, h.k, (dj.k - h.k + ds.s * dj.m) / (dj.n - h.n + ds.s) AS m FROM h JOIN dj USING (domain), ds),
 hp AS (SELECT sum((k - n * m) * (k - n * m) - n * m * (1 - m)) AS a, sum(n * (n - 1) * m * (1 - m)) AS b FROM hj),
-hs AS (SELECT CASE WHEN b IS NULL OR b = 0 THEN 1.0 WHEN a <= 0 THEN 10000.0 ELSE least(10000.0, greatest(1.0, b / a - 1)) END AS s FROM hp),
+hs AS (SELECT CASE WHEN b IS NULL OR b = 0 THEN 5.0 WHEN a <= 0 THEN 10000.0 ELSE least(10000.0, greatest(5.0, b / a - 1)) END AS s FROM hp),
 hr AS (SELECT host, n, hs.s AS s, (k + hs.s * m) / (n + hs.s) AS r FROM hj, hs),
 hb AS (SELECT host, r - 1.64 * sqrt(r * (1 - r) / (n + s + 1)) AS bound FROM hr),
 j AS (
