@@ -13,7 +13,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be toxic go; all others stay as they are."""
     labels = table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels)
-    return toxicity.score(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.score(docs, model, "_toxicity").filter(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,19 +79,17 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST)
     plan = sample_plan(docs, weights, most)
     # equal rows share a hash; how many of them take how much is one list, as short as there are amounts
     plan = plan.groupBy("h", "size", "taken").agg(F.count("*").alias("many"))
-    plan = plan.groupBy("h", "size").agg(F.sort_array(F.collect_list(F.struct("taken", "many"))).alias("shares"), F.sum("many").alias("rows"))
+    plan = plan.groupBy("h", F.col("size").alias("_size")).agg(F.sort_array(F.collect_list(F.struct("taken", "many"))).alias("_shares"), F.sum("many").alias("_rows"))
     keyed = docs.withColumn("_h", hash60(F.col("doc_id"), F.md5(text.cast("binary"))))
     joined = keyed.join(plan.withColumnRenamed("h", "_h"), "_h")
     one = F.row_number().over(W.partitionBy("_h").orderBy("_h"))
-    alone = joined.filter("rows = 1").withColumn("_taken", F.expr("shares[0].taken"))
-    tied = joined.filter("rows > 1").withColumn("_row", one)
-    tied = tied.withColumn("_taken", F.expr("aggregate(shares, struct(0L as seen, -1L as taken), (a, s) -> struct(a.seen + s.many as seen, if(a.taken < 0 and _row <= a.seen + s.many, s.taken, a.taken) as taken), a -> a.taken)")).drop("_row")
+    alone = joined.filter("_rows = 1").withColumn("_taken", F.expr("_shares[0].taken"))
+    tied = joined.filter("_rows > 1").withColumn("_row", one)
+    tied = tied.withColumn("_taken", F.expr("aggregate(_shares, struct(0L as seen, -1L as taken), (a, s) -> struct(a.seen + s.many as seen, if(a.taken < 0 and _row <= a.seen + s.many, s.taken, a.taken) as taken), a -> a.taken)")).drop("_row")
     every = alone.unionByName(tied)
-    whole = F.expr("if(size = 0, 1L, _taken div size)").alias("_whole")
-    rest = F.expr("if(size = 0, 0L, _taken % size)")
-    amounts = F.when(rest > 0, F.concat(F.array_repeat(F.lit(-1).cast("long"), F.expr("cast(if(size = 0, 1L, _taken div size) as int)")), F.array(rest)))
-    amounts = amounts.otherwise(F.array_repeat(F.lit(-1).cast("long"), F.expr("cast(if(size = 0, 1L, _taken div size) as int)")))
-    every = every.withColumn("_keep", F.explode(amounts))
+    whole = F.array_repeat(F.lit(-1).cast("long"), F.expr("cast(if(_size = 0, 1L, _taken div _size) as int)"))
+    rest = F.expr("if(_size = 0, 0L, _taken % _size)")
+    every = every.withColumn("_keep", F.explode(F.when(rest > 0, F.concat(whole, F.array(rest))).otherwise(whole)))
     head = F.expr(r"array_join(slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), 1, cast(_keep as int)), ' ')")
     cut = F.col("_keep") >= 0
     every = every.withColumn("text", F.when(cut, head).otherwise(F.col("text")))
