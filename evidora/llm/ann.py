@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .bytes_kernel import lean
+from .common import small_batches, table, written
 from .embedding_dedup import unit_rows, usable
 
 TREES, LEAF = 8, 32
@@ -183,6 +184,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NE
     null ids and lengths other than the commonest take no part; rows repeated in id and vector count once.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     good = vectors.select("vec_id", "embedding").filter(usable() & F.col("vec_id").isNotNull())
     size = good.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
     dim = size["n"] if size else 1
@@ -203,9 +205,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NE
     cells = sum(len(t.planes) + 1 for t in forest.trees)
     row_blocks = max(1, math.ceil(n * TREES / cells / ROWS))
     query_blocks = max(1, math.ceil(n_asked * forest.visits / cells / QUERIES))
-    index = rows.mapInArrow(_index(shared, row_blocks), "cell long, ids array<long>, embedding array<float>")
+    index = rows.mapInArrow(lean(_index(shared, row_blocks)), "cell long, ids array<long>, embedding array<float>")
     index = index.withColumn("rb", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(row_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    probes = asked.mapInArrow(_probe(shared), "cell long, query_id long, query array<float>")
+    probes = asked.mapInArrow(lean(_probe(shared)), "cell long, query_id long, query array<float>")
     probes = probes.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))
     pairs = probes.groupBy("cell", "rb", "qb").cogroup(index.groupBy("cell", "rb", "qb")).applyInArrow(_rank(nearest), "query_id long, vec_id long, score double")
     best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -2,12 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20
+SLICE = 1 << 20
+#: What a Python worker keeps from task to task, by name; one operator's at a time.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable):
+    """The worker's own object of this name, made when it is first asked for."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def lean(run: Callable, keep: str = "") -> Callable:
+    """A function over batches that first drops what other operators kept in this worker, and at its end gives freed
+    memory back, since workers live on and share an executor's memory."""
+
+    def wrapped(batches):
+        for name in [k for k in _kept if not keep or not k.startswith(keep)]:
+            del _kept[name]
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped
+
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACE_CODE = _rng.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,9 +118,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: in
     n = ends - starts
     if most is not None:
         n = np.minimum(n, most)
-    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    n = n.astype(np.int32)
+    place = np.arange(int(n.sum()), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
     codes = BYTE_CODE[data[np.repeat(starts, n) + place]]
-    codes *= PLACE_CODE[place & 4095]
+    place &= 4095
+    codes *= PLACE_CODE[place]
     edges = np.cumsum(n) - n
     return mix(np.add.reduceat(codes, edges) + n.astype(np.uint64))
 

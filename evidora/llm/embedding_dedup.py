@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytes_kernel import STEP, binary_rows, fixed_binary, mix, step
+from .bytes_kernel import STEP, binary_rows, fixed_binary, lean, mix, step
 from .common import table, written
 from .near_links import candidate_links, clusters, exact_links, in_blocks
 from .ngram_join import resolved
@@ -133,7 +133,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     )
     classes = written(classes, "vectors")
     lines, n_tables = tables_for(classes.count())
-    paths = classes.select("node", "embedding").mapInArrow(_tables(dim, lines, n_tables), "path long, node long, sketch binary").dropDuplicates(["path", "node"])
+    paths = classes.select("node", "embedding").mapInArrow(lean(_tables(dim, lines, n_tables)), "path long, node long, sketch binary")
     links = candidate_links(paths, LINES, collisions(NEAR), collisions(LINKED), collisions(COVERED), split)
     members = clusters(links).join(classes, "node").withColumn("units", F.lit(1))
     linked, edges = exact_links(in_blocks(members), "embedding", cosine_pairs)

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bytes_kernel import LOWER, WORD_BYTE, slices
-from .common import table
+from .bytes_kernel import LOWER, WORD_BYTE, lean, slices
+from .common import small_batches, table
 
 BUCKETS, ORDERS = 2048, (1, 2, 3)
 #: The bounded training sample: texts of each language, languages, and the longest text.
@@ -39,7 +39,7 @@ def counts(column: pa.Array):
     Letters are lower-cased and whatever is no letter or digit counts as a blank. The counts are of the whole text.
     """
     clean = np.where(WORD_BYTE & ~((np.arange(256) >= 48) & (np.arange(256) <= 57)), LOWER, 32).astype(np.uint32)
-    for lo, hi, data, at in slices(column, 1 << 20):
+    for lo, hi, data, at in slices(column, 1 << 19):
         x = clean[data]
         out = np.zeros((hi - lo, BUCKETS * len(ORDERS)), np.float32)
         gram = np.zeros(len(x), np.uint32)
@@ -144,6 +144,7 @@ def train(docs: DataFrame) -> Model:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score). Null texts and texts without a letter are ``und`` with score 0."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 25 KB for each pair of languages
 
     def run(batches):
@@ -158,7 +159,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select("doc_id", held_out().alias("held_out"), letters.alias("letters"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytes_kernel import binary_rows, fixed_binary
+from .bytes_kernel import binary_rows, fixed_binary, lean
 from .common import components, roots, shuffle_parts, whole_groups, written
 
 #: Rows of a bucket that is compared pair by pair, and how many times as many in each further round: what has stayed
@@ -96,13 +96,13 @@ def candidate_links(rows: DataFrame, width: int, near: Callable, linked: Callabl
         most = SMALL * GROWTH ** (depth - 1)
         full = written(full, f"full{depth}")
         small = full.filter(F.col("n") <= most).select("path", "node", "sketch").repartition(parts, "path").sortWithinPartitions("path")
-        found = small.mapInArrow(_pairs(width, near), "a long, b long")
+        found = small.mapInArrow(lean(_pairs(width, near)), "a long, b long")
         large = full.filter(F.col("n") > most)
         if large.limit(1).count() == 0:
             return found if links is None else links.union(found)
         lead = large.filter("node = leader").select("path", F.col("sketch").alias("lead"))
         step = large.join(lead, "path").select("path", "node", "leader", "sketch", "lead")
-        step = written(step.mapInArrow(_against_leader(width, linked, covered, split, depth), "kind int, path long, node long, sketch binary"), f"step{depth}")
+        step = written(step.mapInArrow(lean(_against_leader(width, linked, covered, split, depth)), "kind int, path long, node long, sketch binary"), f"step{depth}")
         found = found.union(step.filter("kind = 0").select(F.col("node").alias("a"), F.col("path").alias("b")))
         links = found if links is None else links.union(found)
         rows = step.filter("kind = 1").select("path", "node", "sketch").dropDuplicates(["path", "node"])
@@ -166,5 +166,5 @@ def exact_links(tasks: DataFrame, payload: str, pairs: Callable) -> tuple[DataFr
     """
     parts = shuffle_parts(tasks.sparkSession)
     sorted_ = tasks.select("task", "node", "weight", "side", "same", payload).repartition(parts, "task").sortWithinPartitions("task")
-    out = written(sorted_.mapInArrow(_links(payload, pairs), LINKED), "exact")
+    out = written(sorted_.mapInArrow(lean(_links(payload, pairs)), LINKED), "exact")
     return out.groupBy("node").agg(F.sum("links").alias("links")), out.select(F.col("node").alias("a"), F.col("root").alias("b"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytes_kernel import STEP, binary_rows, column_bytes, fixed_binary, mix, segment_min, shingles, slices, step, word_hashes, words
+from .bytes_kernel import STEP, binary_rows, column_bytes, fixed_binary, lean, mix, segment_min, shingles, slices, step, word_hashes, words
 from .common import components, table, written
 from .near_links import candidate_links, clusters, exact_links, in_blocks
 
@@ -143,17 +143,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of each class (by smallest id, then text hash ``tk``; rows equal in both are one document). Null ids come last.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
-    known = written(rows.mapInArrow(_sketch, "doc_id long, tk long, node long, units long, sketch binary, paths binary"), "sketches")
+    known = written(rows.mapInArrow(lean(_sketch), "doc_id long, tk long, node long, units long, sketch binary, paths binary"), "sketches")
     classes = known.filter("node is not null").groupBy("node").agg(
         F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("low"), F.count("*").alias("weight"), F.min("tk").alias("tk"), F.min("units").alias("units"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
     )
     classes = written(classes, "classes")
-    paths = classes.select("node", "sketch", "paths").mapInArrow(_spread, "path long, node long, sketch binary")
+    paths = classes.select("node", "sketch", "paths").mapInArrow(lean(_spread), "path long, node long, sketch binary")
     links = candidate_links(paths, TOKENS, _agree(NEAR), _agree(LINKED), _agree(COVERED), split)
     members = clusters(links).join(classes.select("node", "tk", "weight", "units"), "node")
     tasks = in_blocks(members).select("tk", "task", "node", "weight", "side", "same")
     texts = rows.filter("text is not null").groupBy("tk").agg(F.first("text").alias("text"))
-    sets = tasks.join(texts, "tk").mapInArrow(_sets, "task long, node long, weight long, side int, same boolean, set binary")
+    sets = tasks.join(texts, "tk").mapInArrow(lean(_sets), "task long, node long, weight long, side int, same boolean, set binary")
     linked, edges = exact_links(sets, "set", jaccard_pairs)
     return resolved(known.select("doc_id", "tk", "node"), classes.select("node", "low", "weight"), linked, edges)
 
