@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytes_kernel import LOWER, SPACE_BYTE, slices, word_hashes, word_spans
+from .bytes_kernel import LOWER, SPACE_BYTE, kept, lean, slices, word_hashes, word_spans
 from .common import ROWS_PER_BUCKET, running_sum, running_total, source_key, table, written
 
 LENGTH, END = 2048, 1
@@ -23,11 +23,11 @@ class WordTokenizer:
 
     The vocabulary's rules lower-case, drop white space and never join across it, nor across the border of an ASCII
     letter and a comma or full stop; so ids of such words are independent of what stands around. Words are found and
-    hashed for a whole batch at once, looked up in a table of 2^20 slots, and only unseen ones go to the tokenizer.
+    hashed for a whole batch at once, looked up in a table of 2^21 slots (some 100 MB with the ids), and only unseen ones go to the tokenizer.
     Texts with the opening of a special token's string are tokenized by themselves.
     """
 
-    SLOTS, POOL = 20, 8_000_000
+    SLOTS, POOL = 21, 16_000_000
 
     def __init__(self, path: str):
         import os
@@ -126,14 +126,9 @@ class WordTokenizer:
             yield lo, hi, ids, edges
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
     """One per Python worker, so that later tasks find the words of earlier ones."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    return kept(f"tokenizer {path}", lambda: WordTokenizer(path))
 
 
 def default_vocabulary() -> str:
@@ -262,16 +257,16 @@ def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGT
     sources are a queue. No rows give no pieces.
     """
     path = path or default_vocabulary()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tk"), source_key(F.col("source")).alias("skey"), F.col("text"))
-    slim = rows.mapInArrow(_counts(path), "doc_id long, tk long, skey string, n long")
+    rows = docs.select("doc_id", F.xxhash64("text", F.col("doc_id").isNull()).alias("tk"), source_key(F.col("source")).alias("skey"), F.col("text"))
+    slim = rows.mapInArrow(lean(_counts(path), "tokenizer"), "doc_id long, tk long, skey string, n long")
     slim = written(slim, "tokens").groupBy("doc_id", "tk").agg(F.min("skey").alias("skey"), F.max("n").alias("n"), F.count("*").alias("copies"))
     plan = written(schedule(slim, weights=weights), "plan")
     total = plan.agg(F.sum(F.col("n") * F.col("copies"))).first()[0] or 0
-    one = rows.select("doc_id", "tk", "text").groupBy("doc_id", "tk").agg(F.first("text").alias("text"))
-    plan = plan.withColumnsRenamed({"doc_id": "_id", "tk": "_tk"})
-    joined = one.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")))
+    known = F.coalesce("doc_id", F.lit(0)).alias("id0")  # null ids differ from others in tk
+    one = rows.select(known, "tk", "text").groupBy("id0", "tk").agg(F.first("text").alias("text"))
+    joined = one.join(plan.select(known, "doc_id", "tk", "at", "copies"), ["id0", "tk"])
     schema = PIECE + (", ids array<long>" if ids else "")
-    return joined.select("doc_id", "text", "at", "copies").mapInArrow(_pieces(path, length, total, ids), schema)
+    return joined.select("doc_id", "text", "at", "copies").mapInArrow(lean(_pieces(path, length, total, ids), "tokenizer"), schema)
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
