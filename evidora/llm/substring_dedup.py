@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytes_kernel import BYTE_CODE, SPACE_BYTE, slices, word_hashes
+from .bytes_kernel import BYTE_CODE, SPACE_BYTE, lean, slices, word_hashes
 from .common import shuffle_parts, table, whole_groups, written
 
-#: A chunk ends behind a blank where the gear hash of the 16 bytes up to it meets CUT of 32 values: every 6.4 words.
-CUT = 5
+#: A chunk may end behind a blank where the gear hash of the 16 bytes up to it meets CUT of 32 values, and does unless
+#: it might have within the APART words before: every 6.8 words, and never after one or two, which would often repeat
+#: by chance.
+CUT, APART = 11, 2
 #: Beyond so many bytes without a blank, any character may end a chunk, at a rate of 1 in 64.
 NO_BLANK = 256
 #: Repeated chunks in a row are removed when they hold so many words together.
@@ -29,8 +31,8 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def chunk_ends(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of all texts; a border depends on at most the 16 bytes before it and the run without blanks
-    it lies in, so insertions elsewhere don't shift it."""
+    """Ends of the chunks of all texts; a border depends on at most the 16 bytes and APART words before it and the run
+    without blanks it lies in, so insertions elsewhere don't shift it."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
@@ -38,7 +40,14 @@ def chunk_ends(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     value = (h >> np.uint32(11)) & np.uint32(31)
     blank = SPACE_BYTE[data]
     cut = blank & (value < CUT)
-    cut[:-1] &= ~blank[1:]  # a run of blanks ends a chunk behind its last one only
+    behind = blank.copy()
+    behind[:-1] &= ~blank[1:]  # a run of blanks ends a chunk behind its last one only
+    cut = np.flatnonzero(behind & cut)
+    word, own = np.cumsum(behind, dtype=np.int64)[cut], np.searchsorted(at, cut, "right")
+    alone = np.ones(len(cut), bool)
+    alone[1:] = (word[1:] - word[:-1] > APART) | (own[1:] != own[:-1])
+    kept, cut = cut[alone], np.zeros(n, bool)
+    cut[kept] = True
     last = np.maximum.accumulate(np.where(blank, np.arange(n), -1))
     far = np.arange(n) - np.maximum(last, at[np.searchsorted(at, np.arange(n), "right") - 1]) > NO_BLANK if n > NO_BLANK else np.zeros(n, bool)
     if far.any():
@@ -124,12 +133,13 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     """
     spark = docs.sparkSession
     rows = docs.filter("text is not null").select(document_key(F.col("doc_id"), F.col("text")).alias("did"), text_tag(F.col("text")).alias("tag"), "text")
-    chunks = written(rows.mapInArrow(_chunks, "digest long, did long, spot long, size long"), "chunks")
+    chunks = written(rows.mapInArrow(lean(_chunks), "digest long, did long, spot long, size long"), "chunks")
     many = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("did").alias("owner")).filter("n > 1").drop("n")
+    many = written(many, "digests")  # then the join has a shuffle on both sides, and a hot digest is split
     found = chunks.join(many, "digest")
     parts = shuffle_parts(spark)
     found = found.repartition(parts, "did").sortWithinPartitions("did", "spot")
-    spans = found.mapInArrow(_runs(least_words), "did long, tag long, start long, length long, words long, owner long")
+    spans = found.mapInArrow(lean(_runs(least_words)), "did long, tag long, start long, length long, words long, owner long")
     known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     return spans.select("did", "tag", known("did").alias("doc_id"), "start", "length", "words", known("owner").alias("source_doc_id"))
 
@@ -156,7 +166,7 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     keyed = docs.withColumns({"_did": document_key(F.col("doc_id"), F.col("text")), "_tag": text_tag(F.col("text"))})
     joined = keyed.join(spans, ["_did", "_tag"], "left").drop("_did", "_tag")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = joined.select(*docs.columns, "_spans").mapInArrow(_cut, schema)
+    out = joined.select(*docs.columns, "_spans").mapInArrow(lean(_cut), schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
