@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytes_kernel import lean
-from .common import small_batches, table, written
+from .common import shuffle_parts, small_batches, table, written
 from .embedding_dedup import unit_rows, usable
 
 TREES, LEAF = 8, 32
@@ -207,6 +207,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NE
     query_blocks = max(1, math.ceil(n_asked * forest.visits / cells / QUERIES))
     index = rows.mapInArrow(lean(_index(shared, row_blocks)), "cell long, ids array<long>, embedding array<float>")
     index = index.withColumn("rb", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(row_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    asked = asked.repartition(shuffle_parts(spark), "vec_id")  # few bytes, but each takes a search
     probes = asked.mapInArrow(lean(_probe(shared)), "cell long, query_id long, query array<float>")
     probes = probes.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))
     pairs = probes.groupBy("cell", "rb", "qb").cogroup(index.groupBy("cell", "rb", "qb")).applyInArrow(_rank(nearest), "query_id long, vec_id long, score double")
