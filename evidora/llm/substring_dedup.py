@@ -16,8 +16,12 @@ from .common import shuffle_parts, table, whole_groups, written
 CUT, APART = 11, 2
 #: Beyond so many bytes without a blank, any character may end a chunk, at a rate of 1 in 64.
 NO_BLANK = 256
-#: Repeated chunks in a row are removed when they hold so many words together.
-LEAST_WORDS = 16
+#: Scripts written without blanks: so many bytes after the last blank, a character of three bytes or more may end a
+#: chunk, at a rate of 1 in 32.
+NO_BLANK_WIDE = 48
+#: Repeated chunks in a row are removed when they hold so many words together, or CHARS characters for each of these
+#: words, half of them beyond ASCII.
+LEAST_WORDS, CHARS = 16, 6
 GEAR = (BYTE_CODE >> np.uint64(32)).astype(np.uint32)
 
 
@@ -49,11 +53,14 @@ def chunk_ends(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     kept, cut = cut[alone], np.zeros(n, bool)
     cut[kept] = True
     last = np.maximum.accumulate(np.where(blank, np.arange(n), -1))
-    far = np.arange(n) - np.maximum(last, at[np.searchsorted(at, np.arange(n), "right") - 1]) > NO_BLANK if n > NO_BLANK else np.zeros(n, bool)
-    if far.any():
+    run = np.arange(n) - np.maximum(last, at[np.searchsorted(at, np.arange(n), "right") - 1]) if n > NO_BLANK_WIDE else np.zeros(n, np.int64)
+    far, wide = run > NO_BLANK, run > NO_BLANK_WIDE
+    if wide.any():
         lead = np.ones(n, bool)
         lead[:-1] = (data[1:] & 0xC0) != 0x80
         cut |= far & lead & ((h >> np.uint32(10)) & np.uint32(63) == 0)
+        wide[2:] &= (data[:-2] >= 0xE0) | (np.concatenate([[0], data[:-3]]) >= 0xF0)
+        cut |= wide & lead & (data >= 0x80) & ((h >> np.uint32(10)) & np.uint32(31) == 0)
     cut[at[1:][at[1:] > 0] - 1] = True
     return np.flatnonzero(cut) + 1
 
@@ -91,22 +98,24 @@ def _chunks(batches):
             doc = np.searchsorted(at, starts, "right") - 1
             spot = (tags[doc + lo] << POS_BITS) | (starts - at[doc])
             size = ((ends - starts) << 32) | many
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest, keys[doc + lo], spot, size)], names=["digest", "did", "spot", "size"])
+            beyond = np.add.reduceat((data >= 0xC0).astype(np.int32), starts)
+            chars = np.minimum(2 * beyond, np.add.reduceat(((data & 0xC0) != 0x80).astype(np.int32), starts)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest, keys[doc + lo], spot, size, chars)], names=["digest", "did", "spot", "size", "chars"])
 
 
 def _runs(least_words: int):
     def run(batches):
         for batch in whole_groups(batches, "did"):
-            digest, did, spot, size, owner = (batch.column(c).to_numpy() for c in ("digest", "did", "spot", "size", "owner"))
+            digest, did, spot, size, chars, owner = (batch.column(c).to_numpy() for c in ("digest", "did", "spot", "size", "chars", "owner"))
             fresh = np.ones(len(did), bool)  # rows equal in id and text repeat their chunks
             fresh[1:] = (did[1:] != did[:-1]) | (spot[1:] != spot[:-1])
-            digest, did, spot, size, owner = (x[fresh] for x in (digest, did, spot, size, owner))
+            digest, did, spot, size, chars, owner = (x[fresh] for x in (digest, did, spot, size, chars, owner))
             order = np.lexsort((spot, digest, did))
             first = np.zeros(len(did), bool)
             first[order[0]] = True
             first[order[1:]] = (did[order[1:]] != did[order[:-1]]) | (digest[order[1:]] != digest[order[:-1]])
             take = ~(first & (owner == did))
-            did, spot, size, owner = (x[take] for x in (did, spot, size, owner))
+            did, spot, size, chars, owner = (x[take] for x in (did, spot, size, chars, owner))
             if not len(did):
                 continue
             begin = np.ones(len(did), bool)
@@ -114,7 +123,7 @@ def _runs(least_words: int):
             at = np.flatnonzero(begin)
             length, many = np.add.reduceat(size >> 32, at), np.add.reduceat(size & 0xFFFFFFFF, at)
             source = np.minimum.reduceat(owner, at)
-            keep = many >= least_words
+            keep = (many >= least_words) | (np.add.reduceat(chars.astype(np.int64), at) >= CHARS * least_words)
             at = at[keep]
             values = (did[at], spot[at] >> POS_BITS, spot[at] & ((1 << POS_BITS) - 1), length[keep], many[keep], source[keep])
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in values], names=["did", "tag", "start", "length", "words", "owner"])
@@ -126,14 +135,15 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     """(did, tag, doc_id, start, length, words, source_doc_id): byte spans of documents that repeat earlier text.
 
     Of each chunk, the document with the smallest id keeps its first occurrence; all others are repeats. Repeats that
-    adjoin make a span, and spans of fewer than ``least_words`` words are left alone. ``tag`` is of the text's hash,
-    for rows that share an id; rows equal in both are one document. Null and empty texts have no spans; null ids come
+    adjoin make a span, and spans of fewer than ``least_words`` words are left alone, unless they hold CHARS times as
+    many characters, half of them beyond ASCII, as in scripts without blanks. ``tag`` is of the text's hash, for rows
+    that share an id; rows equal in both are one document. Null and empty texts have no spans; null ids come
     last and are told apart by their texts. Digests are counted before they move, so a passage that a third of all
     documents share costs one row a task; joined back, it is split by size.
     """
     spark = docs.sparkSession
     rows = docs.filter("text is not null").select(document_key(F.col("doc_id"), F.col("text")).alias("did"), text_tag(F.col("text")).alias("tag"), "text")
-    chunks = written(rows.mapInArrow(lean(_chunks), "digest long, did long, spot long, size long"), "chunks")
+    chunks = written(rows.mapInArrow(lean(_chunks), "digest long, did long, spot long, size long, chars int"), "chunks")
     many = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("did").alias("owner")).filter("n > 1").drop("n")
     many = written(many, "digests")  # then the join has a shuffle on both sides, and a hot digest is split
     found = chunks.join(many, "digest")

@@ -193,3 +193,18 @@ def test_repeats_without_ids(docs_frame, prose):
     spans = substring_dedup.repeated_spans(docs).toPandas()
     assert spans.doc_id.isna().all() and len(spans) == 1 and spans.source_doc_id.tolist() == [3]
     assert substring_dedup.repeated_spans(docs_frame([])).count() == 0
+
+
+def test_repeats_in_scripts_without_blanks(docs_frame):
+    def unspaced(n, seed, low=0x4E00, high=0x9FA5):
+        return "".join(chr(random.Random(f"{seed} {i}").randint(low, high)) for i in range(n))
+
+    passage, thai, whole = unspaced(250, "p"), unspaced(250, "t", 0x0E01, 0x0E30), unspaced(400, "w")
+    texts = [unspaced(40, "a") + passage + unspaced(300, "b"), unspaced(333, "c") + passage, unspaced(50, "d", 0x0E01, 0x0E30) + thai, thai + unspaced(90, "e", 0x0E01, 0x0E30), whole, whole, unspaced(400, "f")]
+    spans = substring_dedup.repeated_spans(docs_frame(texts)).toPandas()
+    assert set(spans.doc_id) == {1, 3, 5}
+    for doc, part in ((1, passage), (3, thai), (5, whole)):
+        lo = len(texts[doc][: texts[doc].index(part)].encode())
+        assert covered(spans, doc, lo, lo + len(part.encode())) > 0.5
+    cut = substring_dedup.without_repeats(docs_frame(texts)).toPandas().set_index("doc_id").text
+    assert cut[5] == "" and cut[6] == texts[6] and cut[1].startswith(texts[1][:333]) and "\ufffd" not in "".join(cut)
