@@ -129,7 +129,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     node = F.when(fits, F.xxhash64(F.transform("embedding", lambda x: x.cast("double") + 0.0)))
     keyed = rows.select("vec_id", node.alias("node"), "embedding")
     classes = keyed.filter("node is not null").groupBy("node").agg(
-        F.min(F.coalesce("vec_id", F.lit(2**63 - 1))).alias("low"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")
+        F.struct(F.min(F.coalesce("vec_id", F.lit(2**63 - 1))).alias("id"), F.lit(0).cast("long").alias("tk")).alias("low"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")
     )
     classes = written(classes, "vectors")
     lines, n_tables = tables_for(classes.count())

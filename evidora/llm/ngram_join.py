@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
     known = written(rows.mapInArrow(lean(_sketch), "doc_id long, tk long, node long, units long, sketch binary, paths binary"), "sketches")
     classes = known.filter("node is not null").groupBy("node").agg(
-        F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("low"), F.count("*").alias("weight"), F.min("tk").alias("tk"), F.min("units").alias("units"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
+        F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "tk")).alias("low"), F.count("*").alias("weight"), F.min("tk").alias("tk"), F.min("units").alias("units"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
     )
     classes = written(classes, "classes")
     paths = classes.select("node", "sketch", "paths").mapInArrow(lean(_spread), "path long, node long, sketch binary")
@@ -159,7 +159,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def resolved(rows: DataFrame, classes: DataFrame, linked: DataFrame, edges: DataFrame) -> DataFrame:
-    """Bring links and components back to the rows (doc_id, tk, node); a class's own copies are links too."""
+    """Bring links and components back to the rows (doc_id, tk, node); a class's own copies are links too.
+
+    ``low`` of a class is its smallest (id, tk), null ids as the largest number; ``kept`` is the smallest of each
+    component, so components of the same ids, or of none, keep one each.
+    """
     near = components(edges)
     least = near.join(classes.select("node", "low"), "node").groupBy("component").agg(F.min("low").alias("least"))
     joined = near.join(least, "component").join(linked, "node")
@@ -167,18 +171,14 @@ def resolved(rows: DataFrame, classes: DataFrame, linked: DataFrame, edges: Data
     found = found.select("node", F.coalesce("least", "low").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = rows.join(written(found, "found"), "node", "left")
     last = F.lit(2**63 - 1)
-    first = F.coalesce("doc_id", last) == F.coalesce("least", "doc_id", last)
-    class_id = F.when(F.col("least").isNull(), F.col("doc_id")).when(F.col("least") != last, F.col("least"))
+    first = F.col("least").isNull() | ((F.coalesce("doc_id", last) == F.col("least.id")) & (F.col("tk") == F.col("least.tk")))
+    class_id = F.when(F.col("least").isNull(), F.col("doc_id")).when(F.col("least.id") != last, F.col("least.id"))
     return out.select("doc_id", "tk", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), first.alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each class of near-duplicates; all documents without a word stay."""
-    known = near_duplicates(docs).filter("kept")
-    last = F.lit(2**63 - 1)
-    alone = known.filter("n_links = 0").select("doc_id", "tk")
-    tied = known.filter("n_links > 0").withColumn("c", F.coalesce("class_id", last)).groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("tk").alias("tk")).select("doc_id", "tk")
-    keep = alone.union(tied).distinct().withColumnsRenamed({"doc_id": "_id", "tk": "_tk"})
+    keep = near_duplicates(docs).filter("kept").select("doc_id", "tk").distinct().withColumnsRenamed({"doc_id": "_id", "tk": "_tk"})
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     match = keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_key"] == F.col("_tk"))
     return keyed.join(keep, match, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key").select(*docs.columns)

@@ -208,3 +208,15 @@ def test_repeats_in_scripts_without_blanks(docs_frame):
         assert covered(spans, doc, lo, lo + len(part.encode())) > 0.5
     cut = substring_dedup.without_repeats(docs_frame(texts)).toPandas().set_index("doc_id").text
     assert cut[5] == "" and cut[6] == texts[6] and cut[1].startswith(texts[1][:333]) and "\ufffd" not in "".join(cut)
+
+
+def test_classes_without_ids_or_of_one_id(docs_frame, prose):
+    a, b, c, d = (prose(60, i) for i in range(21, 25))
+    near = lambda t: t.replace(t.split()[7], "other", 1)
+    docs = docs_frame([a, near(a), b, b, c, near(c), d, near(d)], ids=[None, None, None, None, 5, 5, 5, 6])
+    out = ngram_join.near_duplicates(docs).toPandas()
+    assert (out.n_links == 1).all() and out.class_id.dropna().tolist() == [5, 5, 5, 5]
+    kept = ngram_join.without_near_duplicates(docs).toPandas().text.tolist()
+    assert len(kept) == 4 and [len({x, near(x)} & set(kept)) for x in (a, b, c, d)] == [1, 1, 1, 1]
+    marked = out[out.kept][["doc_id", "tk"]].drop_duplicates()
+    assert len(marked) == 4
