@@ -250,9 +250,9 @@ class Engine:
         k = max(s.beam_max, s.bm25_candidates)
         words = vectors.select("query_id", F.col("question").alias("text"))
         dense = search.vector_topk(chunks, vectors, 4 * k)
-        hits = self._save(search.hybrid_hits(dense, search.bm25_topk(chunks.select("id", "text"), words, k), k, s.hybrid_rrf_k), "hits")
+        hits = self._save(search.hybrid_hits(dense, search.bm25_topk(chunks.select("id", "text"), words, k), k, s.hybrid_rrf_k, chunks, vectors), "hits")
         edense = search.vector_topk(entities, vectors, 4 * k)
-        ehits = search.hybrid_hits(edense, search.bm25_topk(entities.select("id", F.col("canonical_name").alias("text")), words, k), k, s.hybrid_rrf_k)
+        ehits = search.hybrid_hits(edense, search.bm25_topk(entities.select("id", F.col("canonical_name").alias("text")), words, k), k, s.hybrid_rrf_k, entities, vectors)
         hybrid = search.hybrid_seeds(hits, ehits, s.beam_max).join(params.select("query_id", "beam"), "query_id")
         room = F.when(F.col("label") == "TextChunk", F.col("beam")).otherwise(F.greatest(F.lit(1), F.floor(F.col("beam") / 2)))
         hybrid = hybrid.filter(F.col("rank") <= room).drop("beam")

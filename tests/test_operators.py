@@ -220,3 +220,13 @@ def test_vector_search_in_blocks(spark, monkeypatch):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = np.argsort(-(u[:10] @ u.T), axis=1)[:, :4]
     assert got == sorted((str(i), str(j)) for i in range(10) for j in near[i])
+
+
+def test_hybrid_keeps_keyword_hits_beyond_dense(spark):
+    x = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.8, 0.6]), ("c", [0.0, 1.0]), ("d", None), ("e", [1.0])], "id string, embedding array<double>")
+    q = spark.createDataFrame([("1", [1.0, 0.0]), ("2", [0.0, 2.0])], "query_id string, embedding array<double>")
+    dense = search.vector_topk(x, q, 1)
+    keyword = spark.createDataFrame([("1", "c", 1), ("1", "d", 2), ("1", "b", 3), ("1", "e", 4)], "query_id string, id string, rank int")
+    out = search.hybrid_hits(dense, keyword, 4, 60, x, q)
+    assert [(a, b, round(c, 9), r) for a, b, c, r in rows(out, "query_id", "id", "similarity", "rank")] == [("1", "a", 1.0, 1), ("1", "b", 0.8, 3), ("1", "c", 0.0, 2), ("2", "c", 1.0, 1)]
+    assert rows(search.hybrid_hits(dense, keyword, 2, 60, x, q).filter("query_id = '1'"), "id", "rank") == [("a", 1), ("c", 2)]
