@@ -481,7 +481,7 @@ def l3_fit(spark, d) -> DataFrame:
 
 @query()
 def greedy_remap(spark, d) -> DataFrame:
-    pairs = [(r["old_id"], r["label"], r["jaccard"], 0.0) for r in jaccard_candidates(spark, d).limit(10_000).collect()]
+    pairs = [(r["old_id"], r["label"], r["jaccard"], 0.0) for r in jaccard_candidates(spark, d).collect()]
     old, labels = sorted({p[0] for p in pairs}), sorted({p[1] for p in pairs})
     taken, new, gone = clusters.remap(pairs, old, labels, 0.05)
     rows = [(k, v, "kept") for k, v in taken.items()] + [(k, None, "new") for k in new] + [(-1, v, "deprecated") for v in gone]

@@ -12,9 +12,9 @@ def ingest_stream(spark: SparkSession, landing: str, checkpoint: str, engine) ->
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(landing)
 
     def batch(rows: DataFrame, _: int) -> None:
-        folders = [r["f"] for r in rows.select(F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)))").alias("f")).distinct().limit(10_000).collect()]
-        for folder in sorted(folders):
-            engine.ingest(folder)
+        folders = rows.select(F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)))").alias("f")).distinct().orderBy("f")
+        for r in folders.toLocalIterator():
+            engine.ingest(r["f"])
 
     return files.select("path").writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -136,3 +136,23 @@ def test_stream_ingests_what_has_landed(spark, tmp_path):
         q = ingest_stream(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/state", Recorder())
         q.awaitTermination(60)
     assert len(seen) == 1
+
+
+def test_stream_ingests_every_folder(spark, tmp_path, monkeypatch):
+    from evidora.streaming.ingest import ingest_stream
+
+    seen = []
+
+    class Recorder:
+        def ingest(self, folder):
+            seen.append(folder)
+
+    frame = type(spark.range(0))
+    whole = frame.limit
+    monkeypatch.setattr(frame, "limit", lambda self, n: whole(self, min(n, 3)))  # a bound would show on few folders
+    for i in range(7):
+        (tmp_path / "in" / f"f{i}").mkdir(parents=True)
+        (tmp_path / "in" / f"f{i}" / "a.md").write_text(f"# {i}\n")
+    q = ingest_stream(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/state", Recorder())
+    q.awaitTermination(60)
+    assert [s.rstrip("/").rsplit("/", 1)[1] for s in seen] == [f"f{i}" for i in range(7)]

@@ -230,3 +230,13 @@ def test_hybrid_keeps_keyword_hits_beyond_dense(spark):
     out = search.hybrid_hits(dense, keyword, 4, 60, x, q)
     assert [(a, b, round(c, 9), r) for a, b, c, r in rows(out, "query_id", "id", "similarity", "rank")] == [("1", "a", 1.0, 1), ("1", "b", 0.8, 3), ("1", "c", 0.0, 2), ("2", "c", 1.0, 1)]
     assert rows(search.hybrid_hits(dense, keyword, 2, 60, x, q).filter("query_id = '1'"), "id", "rank") == [("a", 1), ("c", 2)]
+
+
+def test_greedy_remap_takes_all_pairs(spark, tmp_path):
+    from evidora.plans.queries import QUERIES
+
+    n = 1600 * 7
+    made = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"), (F.col("id") / 7).cast("int").alias("label"))
+    made.write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    out = QUERIES["greedy_remap"](spark, f"file://{tmp_path}").collect()
+    assert {r["id"] for r in out if r["id"] is not None} == {str(i) for i in range(1600)}
