@@ -673,7 +673,7 @@ def greedy_chunk(spark, d) -> DataFrame:
 
 @query()
 def heading_keys(spark, d) -> DataFrame:
-    return fx.table(spark, d, "documents").select("doc_id", normalize_heading(F.substring("text", 1, 100)).alias("key"))
+    return fx.table(spark, d, "documents").select("doc_id", normalize_heading(F.col("text")).alias("key"))
 
 
 @query("SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::BIGINT AS n FROM documents")

@@ -240,3 +240,11 @@ def test_greedy_remap_takes_all_pairs(spark, tmp_path):
     made.write.parquet(f"file://{tmp_path}/embeddings.parquet")
     out = QUERIES["greedy_remap"](spark, f"file://{tmp_path}").collect()
     assert {r["id"] for r in out if r["id"] is not None} == {str(i) for i in range(1600)}
+
+
+def test_heading_keys_take_whole_texts(spark, tmp_path):
+    from evidora.plans.queries import QUERIES
+
+    same = "word " * 30
+    spark.createDataFrame([(1, same + "One."), (2, same + "two")], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert rows(QUERIES["heading_keys"](spark, f"file://{tmp_path}"), "doc_id", "key") == [(1, same + "one"), (2, same + "two")]
