@@ -1,7 +1,7 @@
 """Embedding near-dedup by collision-counting projections.
 
-Vectors are projected on many random lines. In each of several tables, the sorted projections of some lines are cut
-into windows, and vectors that share all windows of a table meet. Of two that meet, the collisions are counted on 64
+Vectors are projected on many random lines. In each of several tables, the lines are cut into a randomly shifted grid
+of windows, and vectors that share all windows of a table meet: buckets by hash, without a sort or a scan of each line. Of two that meet, the collisions are counted on 64
 more lines: how often one's projection lies in the window centred on the other's. Pairs that reach a count calibrated
 for recall at the limit are verified, as everything they connect, by their cosines in double precision.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .bytes_kernel import STEP, binary_rows, fixed_binary, lean, mix, step
 from .common import table, written
-from .near_links import candidate_links, clusters, exact_links, in_blocks
+from .near_links import GROWTH, SMALL, candidate_links, clusters, exact_links, in_blocks
 from .ngram_join import resolved
 
 COSINE, RECALL = 0.95, 0.985
@@ -28,7 +28,7 @@ LINES, GRAIN = 64, 16
 #: Half-widths in steps and counts: pairs at the limit; pairs at cosine 0.88, which is as far as a neighbour of a
 #: vector that the leader stands for can be; vectors that it stands for (cosine about 0.985).
 NEAR, LINKED, COVERED = (10, 55), (12, 49), (3, 52)
-SPLITS, SPLIT_LINES = 3, 4
+SPLITS, SPLIT_LINES = 6, 4
 
 
 def usable(vector: str = "embedding"):
@@ -43,11 +43,26 @@ def together(distance: float, window: float = WINDOW) -> float:
     return math.erf(a / math.sqrt(2)) - math.sqrt(2 / math.pi) / a * (1 - math.exp(-a * a / 2))
 
 
+def stay_together(cosine: float = COSINE) -> float:
+    """Chance that a pair at the limit shares one or more of a round's splits."""
+    return 1 - (1 - together(math.sqrt(2 * (1 - cosine))) ** SPLIT_LINES) ** SPLITS
+
+
+def split_rounds(n: int) -> int:
+    """Rounds in which a bucket of n rows would be split, at most."""
+    rounds = 0
+    while n > SMALL * GROWTH**rounds:
+        rounds += 1
+    return rounds
+
+
 def tables_for(n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
-    """Lines of a table, so that few vectors meet by chance among n, and tables, so that pairs at the limit meet."""
+    """Lines of a table, so that few vectors meet by chance among n, and tables, so that pairs at the limit meet, even
+    in a bucket of all n that splits round by round."""
     by_chance, near = together(math.sqrt(2)), together(math.sqrt(2 * (1 - cosine)))
     lines = max(3, math.ceil(math.log(max(2, n / CROWD)) / -math.log(by_chance)))
-    return lines, math.ceil(math.log(1 - recall) / math.log(1 - near**lines))
+    met = near**lines * stay_together(cosine) ** split_rounds(n)
+    return lines, math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:

@@ -220,3 +220,24 @@ def test_classes_without_ids_or_of_one_id(docs_frame, prose):
     assert len(kept) == 4 and [len({x, near(x)} & set(kept)) for x in (a, b, c, d)] == [1, 1, 1, 1]
     marked = out[out.kept][["doc_id", "tk"]].drop_duplicates()
     assert len(marked) == 4
+
+
+def test_recall_in_a_dense_cloud(spark):
+    """Planted pairs just above the limit, in a cloud whose buckets split; by formula, and against brute force."""
+    near = embedding_dedup.together((2 * 0.05) ** 0.5)
+    for n, rounds in ((10**4, 4), (10**6, 6)):
+        lines, tables = embedding_dedup.tables_for(n)
+        stay = 1 - (1 - near**embedding_dedup.SPLIT_LINES) ** embedding_dedup.SPLITS
+        assert 1 - (1 - near**lines * stay**rounds) ** tables >= embedding_dedup.RECALL
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(0.88 * unit(rng.normal(size=48)) + 0.475 * unit(rng.normal(size=(3000, 48))))
+    side = rng.normal(size=(600, 48))
+    side = unit(side - (side * x[:600]).sum(1, keepdims=True) * x[:600])
+    x = np.concatenate([x, 0.952 * x[:600] + (1 - 0.952**2) ** 0.5 * side])
+    out = embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id")
+    degree = (x @ x.T >= 0.95).sum(1) - 1
+    assert (out.n_links.to_numpy() <= degree).all()
+    share = out.n_links.sum() / degree.sum()
+    print("share of links", share, "of", degree.sum())
+    assert share >= 0.97
