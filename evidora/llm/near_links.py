@@ -1,9 +1,12 @@
 """What the two near-duplicate joins share: buckets to candidate links, candidate clusters to exact links.
 
-Rows are (path, node, sketch). A bucket is the rows of one path. Small buckets are compared pair by pair. In a larger
-one, all rows are compared with its smallest node, in parallel; rows so near to it that it stands for them leave the
-bucket, the others split into the paths that ``split`` gives them. So a bucket with a third of all rows is never
-gathered, whether it holds near copies (they leave in the first round) or rows with little in common (they split).
+Rows are (path, node, sketch) and, where a line is sorted, their place ``at`` on it. A bucket is the rows of one path.
+Small buckets are compared pair by pair, or each row with those in the window centred on its place. In a larger one,
+all rows are compared with its smallest node, in parallel; rows so near to it that it stands for them leave the
+bucket, the others split into the paths that ``split`` gives them. What is small enough to be compared grows with the
+rounds, since what has stayed together is alike; buckets beyond a block are dealt into blocks, with a task for each
+two. So a bucket with a third of all rows is never gathered, whether it holds near copies (they leave in the first
+round), rows with little in common (they split) or rows in between (they meet in blocks).
 The links found so only have to connect: clusters of connected nodes are then compared exactly, in blocks.
 """
 
@@ -26,12 +29,14 @@ SMALL, GROWTH = 16, 8
 BLOCK, UNITS = 1024, 2_000_000
 
 
-def _pairs(width: int, near: Callable):
-    """Links in small buckets: each row against the one 1, 2, ... places on while the path is the same."""
+def _pairs(width: int, near: Callable, window: float | None):
+    """Links in small buckets: each row against the one 1, 2, ... places on while the path is the same and, on a sorted
+    line, the window centred on the row reaches so far."""
 
     def run(batches):
         for batch in whole_groups(batches, "path"):
             path, node = batch.column("path").to_numpy(), batch.column("node").to_numpy()
+            at = batch.column("at").to_numpy() if window is not None else None
             sketch = fixed_binary(batch.column("sketch"), width)
             found = [np.zeros((0, 2), np.int64)]
             i = np.arange(len(path))
@@ -40,6 +45,8 @@ def _pairs(width: int, near: Callable):
                 step += 1
                 i = i[i + step < len(path)]
                 i = i[path[i] == path[i + step]]
+                if at is not None:
+                    i = i[at[i + step] - at[i] <= window]
                 if not len(i):
                     break
                 for lo in range(0, len(i), 65_536):
@@ -49,8 +56,8 @@ def _pairs(width: int, near: Callable):
             links = np.concatenate(found)
             if len(links):  # what is connected in a whole bucket stays so by links to its smallest node
                 nodes, low = roots(links[:, 0], links[:, 1])
-                at = nodes != low
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(low[at])], names=["a", "b"])
+                at_ = nodes != low
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[at_]), pa.array(low[at_])], names=["a", "b"])
 
     return run
 
@@ -74,38 +81,52 @@ def _against_leader(width: int, linked: Callable, covered: Callable, split: Call
             out_path = np.concatenate([leader[link], new.ravel()])
             out_node = np.concatenate([node[link], node[again]])
             out_sketch = np.concatenate([np.zeros((len(link), width), np.uint8), sketch[again]])
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(out_path), pa.array(out_node), binary_rows(out_sketch)], names=["kind", "path", "node", "sketch"])
+            columns = [pa.array(kinds), pa.array(out_path), pa.array(out_node), binary_rows(out_sketch)]
+            if "at" in batch.schema.names:
+                columns.append(batch.column("at").take(pa.array(np.concatenate([link, again]))))
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "path", "node", "sketch", "at"][: len(columns)])
 
     return run
 
 
-def candidate_links(rows: DataFrame, width: int, near: Callable, linked: Callable, covered: Callable, split: Callable) -> DataFrame:
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (path, n, node, ...) of buckets beyond BLOCK rows dealt into blocks, with a path for each two of them."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    many = rows.filter(F.col("n") > BLOCK).withColumn("own", F.pmod(F.xxhash64("node", F.lit(13)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    many = many.withColumn("path", F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other")
+    return rows.filter(F.col("n") <= BLOCK).unionByName(many)
+
+
+def candidate_links(rows: DataFrame, width: int, near: Callable, linked: Callable, covered: Callable, split: Callable, window: float | None = None, small: int = SMALL) -> DataFrame:
     """Links (a, b) from rows (path, node, sketch of ``width`` bytes); a path has a node once.
 
     near, linked, covered: of two arrays of sketches, which pairs may be near; may be near to something the second
     stands for; are stood for by the second. split(paths, sketches, round): new paths of each row, one row each.
+    With ``window``, rows have a place ``at`` too, buckets are sorted by it, and pairs lie within the window.
     """
     spark = rows.sparkSession
     parts = shuffle_parts(spark)
+    sorted_by, more = (["path"], "") if window is None else (["path", "at"], ", at double")
+    columns = ["path", "node", "sketch", *sorted_by[1:]]
     links, depth = None, 0
     while True:
         depth += 1
         rows = written(rows, f"paths{depth}") if depth == 1 else rows
         sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1")
         full = rows.join(sizes, "path")
-        most = SMALL * GROWTH ** (depth - 1)
+        most = small * GROWTH ** (depth - 1)
         full = written(full, f"full{depth}")
-        small = full.filter(F.col("n") <= most).select("path", "node", "sketch").repartition(parts, "path").sortWithinPartitions("path")
-        found = small.mapInArrow(lean(_pairs(width, near)), "a long, b long")
+        compared = _dealt(full.filter(F.col("n") <= most)).select(*columns).repartition(parts, "path").sortWithinPartitions(*sorted_by)
+        found = compared.mapInArrow(lean(_pairs(width, near, window)), "a long, b long")
         large = full.filter(F.col("n") > most)
         if large.limit(1).count() == 0:
             return found if links is None else links.union(found)
         lead = large.filter("node = leader").select("path", F.col("sketch").alias("lead"))
-        step = large.join(lead, "path").select("path", "node", "leader", "sketch", "lead")
-        step = written(step.mapInArrow(lean(_against_leader(width, linked, covered, split, depth)), "kind int, path long, node long, sketch binary"), f"step{depth}")
+        step = large.join(lead, "path").select(*columns, "leader", "lead")
+        step = written(step.mapInArrow(lean(_against_leader(width, linked, covered, split, depth)), f"kind int, path long, node long, sketch binary{more}"), f"step{depth}")
         found = found.union(step.filter("kind = 0").select(F.col("node").alias("a"), F.col("path").alias("b")))
         links = found if links is None else links.union(found)
-        rows = step.filter("kind = 1").select("path", "node", "sketch").dropDuplicates(["path", "node"])
+        rows = step.filter("kind = 1").select(*columns).dropDuplicates(["path", "node"])
 
 
 def clusters(links: DataFrame) -> DataFrame:
