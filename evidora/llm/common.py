@@ -54,6 +54,11 @@ def hash60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def row_of(df: DataFrame) -> Column:
+    """All columns as one struct ``row``, so that a helper column's name can't clash with any of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def source_key(source: Column) -> Column:
     """A never-null form of a source, so that null sources join and group like any other."""
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))

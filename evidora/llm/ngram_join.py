@@ -1,10 +1,10 @@
 """N-gram Jaccard join by chosen paths: documents whose sets of five-word shingles have a similarity of 0.8 or more.
 
 Each text becomes a signature of minima over its shingles, a sample of tokens that two texts share with the
-probability of their similarity. The recursion picks tokens: from the root, RUNS runs of two tokens each; in a bucket
-that is still large, two more for each row. A pair of similarity 0.8 stays together in one of two branches with more
-than 0.93 at any depth of a run, so four runs leave out fewer than one pair in ten thousand. Small buckets are
-compared by brute force on the signatures; what is connected is then compared on the full sets.
+probability of their similarity. The recursion picks tokens: from the root, two tokens a run; in a bucket that is still
+large, two more for each row. Small buckets are compared by brute force on the signatures. Runs go in rounds of RUNS:
+of the links that a round finds, the share that the rounds before had connected already estimates their recall, and
+rounds repeat until it reaches RECALL. What is connected is then compared on the full sets.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_kernel import STEP, binary_rows, column_bytes, fixed_binary, lean, mix, segment_min, shingles, slices, step, word_hashes, words
-from .common import components, table, written
+from .common import components, row_of, table, written
 from .near_links import candidate_links, clusters, exact_links, in_blocks
 
 SHINGLE, SIMILARITY = 5, 0.8
-TOKENS, RUNS, BRANCHES = 64, 4, 2
+#: Tokens of a signature, runs of a round, and branches of a run at each depth; the recall at which rounds end.
+TOKENS, RUNS, BRANCHES, RECALL = 64, 2, 2, 0.995
 #: Agreeing tokens of 64: two texts of similarity 0.8 have 38 or more but for one in 30,000; a leader stands for texts
 #: that agree in 52, whose partners are at 0.6 from it and agree in 26 but for one in 300.
 NEAR, LINKED, COVERED = 38, 26, 52
@@ -28,7 +29,7 @@ FACTORS = _rng.integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.u
 
 
 def sketches(column: pa.Array):
-    """For each run of rows: (first, beyond, digest of the words, number of shingles, signature bytes, first paths)."""
+    """For each run of rows: (first, beyond, digest of the words, number of shingles, signature bytes)."""
     for lo, hi, data, at in slices(column):
         low, starts, ends, first = words(data, at)
         h = word_hashes(low, starts, ends)
@@ -42,32 +43,61 @@ def sketches(column: pa.Array):
         digest = mix(digest + n.astype(np.uint64))
         s, edges = shingles(h, first, SHINGLE)
         signature = np.zeros((hi - lo, TOKENS), np.uint8)
-        paths = np.zeros((hi - lo, RUNS * BRANCHES), np.uint64)
+        wide = np.zeros((hi - lo, TOKENS), np.uint32)
         for c in range(TOKENS):
             x = s * FACTORS[c]
             x ^= x >> np.uint64(32)
             least = mix(segment_min(x, edges, 0))
             signature[:, c] = (least >> np.uint64(56)).astype(np.uint8)
-            if c < paths.shape[1]:
-                paths[:, c] = mix(least + step(c + 1))
-        yield lo, hi, digest, np.diff(edges), signature, paths
+            wide[:, c] = (least >> np.uint64(24)).astype(np.uint32)
+        yield lo, hi, digest, np.diff(edges), signature, wide
 
 
 def _sketch(batches):
     for batch in batches:
         keep = [batch.column(c) for c in ("doc_id", "tk")]
-        for lo, hi, digest, n, signature, paths in sketches(batch.column("text")):
+        for lo, hi, digest, n, signature, tokens in sketches(batch.column("text")):
             own = [x.slice(lo, hi - lo) for x in keep]
             node = pa.array(digest.view(np.int64), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*own, node, pa.array(n), binary_rows(signature), binary_rows(paths)], names=["doc_id", "tk", "node", "units", "sketch", "paths"])
-
-
-def _spread(batches):
-    for batch in batches:
-        paths = fixed_binary(batch.column("paths"), RUNS * BRANCHES, np.int64)
-        k = paths.shape[1]
-        again = pa.array(np.repeat(np.arange(batch.num_rows), k))
-        yield pa.RecordBatch.from_arrays([pa.array(paths.ravel()), batch.column("node").take(again), batch.column("sketch").take(again)], names=["path", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([*own, node, pa.array(n), binary_rows(signature), binary_rows(tokens)], names=["doc_id", "tk", "node", "units", "sketch", "tokens"])
+
+
+def _first_paths(first_run: int):
+    """Rows for the first tokens of RUNS runs, each by the full values of BRANCHES tokens."""
+
+    def run(batches):
+        k = RUNS * BRANCHES
+        at = (first_run * BRANCHES + np.arange(k)) % TOKENS
+        for batch in batches:
+            tokens = fixed_binary(batch.column("tokens"), TOKENS, np.uint32)[:, at].astype(np.uint64)
+            paths = np.stack([mix(tokens[:, c] + step(int(first_run * BRANCHES + c) + 1)) for c in range(k)], 1).view(np.int64)
+            again = pa.array(np.repeat(np.arange(batch.num_rows), k))
+            yield pa.RecordBatch.from_arrays([pa.array(paths.ravel()), batch.column("node").take(again), batch.column("sketch").take(again)], names=["path", "node", "sketch"])
+
+    return run
+
+
+def connected(classes: DataFrame) -> DataFrame:
+    """(node, cluster) of the classes (node, sketch, tokens) that rounds of runs connect, until the recall is reached
+    or all tokens have been first in a run."""
+    found, first_run = None, 0
+    while True:
+        paths = classes.select("node", "sketch", "tokens").mapInArrow(lean(_first_paths(first_run)), "path long, node long, sketch binary")
+        links = written(candidate_links(paths, TOKENS, _agree(NEAR), _agree(LINKED), _agree(COVERED), split), "links")
+        first_run += RUNS
+        if found is None:
+            found = written(clusters(links), "clusters")
+            continue
+        for end in ("a", "b"):
+            links = links.join(found.withColumnsRenamed({"node": end, "cluster": f"c{end}"}), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+        links = written(links.select("ca", "cb"), "between")
+        n, fresh = links.agg(F.count("*"), F.count_if(F.col("ca") != F.col("cb"))).first()
+        if fresh:
+            joined = components(links.filter("ca <> cb").toDF("a", "b")).toDF("cluster", "joined")
+            nodes = found.unionByName(joined.select(F.col("cluster").alias("node"), "cluster")).dropDuplicates(["node"])
+            found = written(nodes.join(joined, "cluster", "left").select("node", F.coalesce("joined", "cluster").alias("cluster")), "clusters")
+        if fresh <= (1 - RECALL) * n or first_run * BRANCHES >= TOKENS:
+            return found
 
 
 def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -141,16 +171,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``n_links``: other documents of similarity 0.8 or more. ``class_id``: the smallest id reachable by links;
     documents without a word (null, empty, marks only) link with nothing and keep their own. ``kept``: one document
     of each class (by smallest id, then text hash ``tk``; rows equal in both are one document). Null ids come last.
+    Texts of any length are read whole; an empty table gives an empty result; other columns are not looked at.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
-    known = written(rows.mapInArrow(lean(_sketch), "doc_id long, tk long, node long, units long, sketch binary, paths binary"), "sketches")
+    known = written(rows.mapInArrow(lean(_sketch), "doc_id long, tk long, node long, units long, sketch binary, tokens binary"), "sketches")
     classes = known.filter("node is not null").groupBy("node").agg(
-        F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "tk")).alias("low"), F.count("*").alias("weight"), F.min("tk").alias("tk"), F.min("units").alias("units"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
+        F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "tk")).alias("low"), F.count("*").alias("weight"), F.min("tk").alias("tk"), F.min("units").alias("units"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens")
     )
     classes = written(classes, "classes")
-    paths = classes.select("node", "sketch", "paths").mapInArrow(lean(_spread), "path long, node long, sketch binary")
-    links = candidate_links(paths, TOKENS, _agree(NEAR), _agree(LINKED), _agree(COVERED), split)
-    members = clusters(links).join(classes.select("node", "tk", "weight", "units"), "node")
+    members = connected(classes).join(classes.select("node", "tk", "weight", "units"), "node")
     tasks = in_blocks(members).select("tk", "task", "node", "weight", "side", "same")
     texts = rows.filter("text is not null").groupBy("tk").agg(F.first("text").alias("text"))
     sets = tasks.join(texts, "tk").mapInArrow(lean(_sets), "task long, node long, weight long, side int, same boolean, set binary")
@@ -177,11 +206,12 @@ def resolved(rows: DataFrame, classes: DataFrame, linked: DataFrame, edges: Data
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each class of near-duplicates; all documents without a word stay."""
-    keep = near_duplicates(docs).filter("kept").select("doc_id", "tk").distinct().withColumnsRenamed({"doc_id": "_id", "tk": "_tk"})
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    match = keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_key"] == F.col("_tk"))
-    return keyed.join(keep, match, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key").select(*docs.columns)
+    """One document of each class of near-duplicates, with all its columns; all documents without a word stay, rows
+    equal in id and text once."""
+    keep = near_duplicates(docs).filter("kept").select("doc_id", "tk").distinct().toDF("kept_id", "kept_tk")
+    keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tk"), row_of(docs))
+    match = keyed["id"].eqNullSafe(F.col("kept_id")) & (keyed["tk"] == F.col("kept_tk"))
+    return keyed.join(keep, match, "left_semi").dropDuplicates(["id", "tk"]).select("row.*")
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
