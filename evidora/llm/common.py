@@ -12,12 +12,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 4096
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, as in tests, gets a
+    temporary one where that is unset; on a cluster it must be set, since machines don't see each other's folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -37,9 +41,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     small_batches(spark)
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Delete the tables that ``written`` has made, once what was read from them is done with."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -95,6 +108,23 @@ def running_total(df: DataFrame, key: str, order: list, value: str, out: str, sp
     return inner.join(keys, key).withColumn(out, F.col("_in") + F.col("_b")).drop("_in", "_b")
 
 
+def numbered(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Number rows from 0 within ``key`` in some order that is fixed by writing it down: a task run again gives the
+    same. A key's rows are numbered in spans, so that a hot one is no single task."""
+    rows = written(df.withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumns({"_span": F.shiftright("_place", 12), "_one": F.lit(1).cast("long")})
+    return running_sum(rows, [key], "_span", ["_place"], "_one", out).drop("_place", "_span", "_one")
+
+
+def copied(df: DataFrame, count: str) -> DataFrame:
+    """Each row ``count`` times; many copies of one row are made in several tasks."""
+    few, many = df.filter(F.col(count) <= ROWS_PER_BUCKET), df.filter(F.col(count) > ROWS_PER_BUCKET)
+    spans = many.withColumn("_at", F.explode(F.expr(f"sequence(0L, cast(({count} - 1) div {ROWS_PER_BUCKET} as long))")))
+    spans = spans.withColumn(count, F.expr(f"least({ROWS_PER_BUCKET}L, {count} - _at * {ROWS_PER_BUCKET})")).repartition(shuffle_parts(df.sparkSession), "_at").drop("_at")
+    both = few.unionByName(spans)
+    return both.withColumn("_copy", F.explode(F.expr(f"sequence(1L, cast({count} as long))"))).drop("_copy", count)
+
+
 def whole_groups(batches, key: str):
     """Regroup sorted batches so that none ends inside a run of equal keys."""
     held: list[pa.RecordBatch] = []

@@ -7,15 +7,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bytes_kernel import LOWER, WORD_BYTE, lean, slices
+from .bytes_kernel import LOWER, WORD_BYTE, binary_rows, fixed_binary, lean, slices
 from .common import small_batches, table
 
 BUCKETS, ORDERS = 2048, (1, 2, 3)
-#: The bounded training sample: texts of each language, languages, and the longest text.
-SAMPLE, LANGUAGES, SAMPLE_BYTES = 600, 20, 32_768
+#: The bounded training sample: expected texts of each language, languages (the commonest), and texts of all together.
+SAMPLE, LANGUAGES, TEXTS = 600, 200, 6000
 UNKNOWN = "und"
 #: Language families by ISO 639-1 code; any other code is a family of its own.
 FAMILIES = {
@@ -56,13 +55,14 @@ def counts(column: pa.Array):
 
 
 def svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, rounds: int = 150) -> np.ndarray:
-    """Weights (and bias, last) of a linear SVM with squared hinge loss; classes weigh the same. y is 1 or -1."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
+    """Weights (and bias, last) of a linear SVM with squared hinge loss; classes weigh the same. y is 1, -1, or 0 for
+    rows that don't take part. Nothing is copied for a fit."""
     c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
+    w, m, v = (np.zeros(x.shape[1] + 1, np.float32) for _ in range(3))
     for t in range(1, rounds + 1):
-        slack = np.maximum(0, 1 - y * (x @ w))
-        g = -2 * ((c * y * slack) @ x) + strength * w
+        slack = np.maximum(0, 1 - y * (x @ w[:-1] + w[-1]))
+        pull = c * y * slack
+        g = -2 * np.append(pull @ x, pull.sum()).astype(np.float32) + strength * w
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -103,11 +103,11 @@ class Model:
         return lang, sure
 
 
-def fit(texts: list[str], langs: list[str]) -> Model:
+def fit(x: np.ndarray, langs: list[str]) -> Model:
+    """Train on the count vectors of texts."""
     model = Model()
-    if not texts:
+    if not len(x):
         return model
-    x = np.concatenate([part for _, _, part in counts(pa.array(texts, pa.string()))])
     langs_ = np.array(langs, object)
     fams = np.array([family(v) for v in langs], object)
     for name in sorted(set(fams)):
@@ -118,8 +118,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
         own = model.members[name]
         for i in range(len(own)):
             for j in range(i + 1, len(own)):
-                at = (langs_ == own[i]) | (langs_ == own[j])
-                model.pairs[name][i, j] = svm(x[at], np.where(langs_[at] == own[i], 1, -1).astype(np.float32))
+                model.pairs[name][i, j] = svm(x, ((langs_ == own[i]).astype(np.float32) - (langs_ == own[j])).astype(np.float32))
     return model
 
 
@@ -127,23 +126,40 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _vectors(batches):
+    for batch in batches:
+        for lo, hi, x in counts(batch.column("text")):
+            keep = [batch.column(c).slice(lo, hi - lo) for c in ("lang", "h")]
+            yield pa.RecordBatch.from_arrays([*keep, binary_rows(x.astype(np.float16))], names=["lang", "h", "x"])
+
+
 def train(docs: DataFrame) -> Model:
-    """Fit on a bounded sample: per language, SAMPLE documents by hash of their ids, of those that may be learned from.
+    """Fit on a bounded sample of the documents that may be learned from.
 
-    Ids are chosen from narrow columns first; a language with any share of all rows sends SAMPLE rows from each task.
+    Languages are counted first, before anything moves; then each task takes a document where the hash of its id and
+    text is below its language's quota over its count, so no language meets in one place. Counts of n-grams are taken
+    in the tasks, of texts however long; the driver gets vectors of fixed size, TEXTS of them at most. Rows equal in
+    id and text are one. Languages beyond the LANGUAGES commonest aren't learned.
     """
     allowed = docs.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out())
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = allowed.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE)
-    most = SAMPLE * LANGUAGES
-    chosen = chosen.orderBy("place", "lang").limit(most).select("doc_id").distinct()  # at most SAMPLE * LANGUAGES ids
-    fields = allowed.select("doc_id", "lang", "text").filter(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = fields.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(most).collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    found = allowed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not found:
+        return Model()
+    quota = min(SAMPLE, max(1, TEXTS // len(found)))
+    h = F.xxhash64("doc_id", "text")
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, quota / r["n"])) for r in found], "lang string, share double")
+    place = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
+    chosen = allowed.select("lang", "text", h.alias("h")).join(F.broadcast(share), "lang").filter(place < F.col("share"))
+    rows = chosen.select("lang", "h", "text").mapInArrow(lean(_vectors), "lang string, h long, x binary")
+    rows = rows.groupBy("h").agg(F.min("lang").alias("lang"), F.first("x").alias("x")).orderBy("h").limit(TEXTS).toArrow()
+    x = fixed_binary(rows.column("x").combine_chunks(), BUCKETS * len(ORDERS), np.float16).astype(np.float32)
+    return fit(x, rows.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score). Null texts and texts without a letter are ``und`` with score 0."""
+    """(doc_id, held_out, lang_pred, score). Null texts and texts without a letter are ``und`` with score 0; so is all
+    where no language was learned. Whole texts count, however long; repeated rows are judged alike, and of languages
+    that tie the first by name is taken. No rows give no rows; other columns are not looked at."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 25 KB for each pair of languages
 

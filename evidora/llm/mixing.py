@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ROWS_PER_BUCKET, hash60, running_sum, source_key, table, written
+from .common import ROWS_PER_BUCKET, copied, hash60, numbered, row_of, running_sum, source_key, table, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: The weights of sources in their order, repeating, and the most a source may be repeated.
 WEIGHTS, MOST = (1, 2, 3), 3
+#: The quality weight of a document without letters.
+LEAST = 0.5
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -40,67 +42,77 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST)
 
 
 def sample_plan(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(doc_id, skey, h, size, source_size, target, taken) for each document.
+    """(doc_id, skey, h, size, source_size, target, taken, many): documents, with the number of equal rows that take
+    the same.
 
     A source's complete epochs are taken first: each document as often as its target holds the source. For the rest,
-    documents are sorted by exponential keys -ln(u) / quality, u from a hash of id and text, quality between 0.5 and
+    documents are sorted by exponential keys -ln(u) / quality, u from a hash of id and text, quality between LEAST and
     1 from the share of letters; sizes are summed in that order and taken up to the budget, the last document in part.
-    Null texts have size 0 and are never taken; sources are ordered by code point, null last; equal rows tie and are
-    interchangeable; reruns agree.
+    Null texts have size 0 and are never taken; sources are ordered by code point, null last; rows equal in id, text
+    and source tie: they are counted before they move and some take in full, one in part, the rest nothing of the
+    budget. Texts of any length are read whole; other columns are not looked at; no rows give no plan. Reruns agree.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     h = hash60(F.col("doc_id"), F.md5(text.cast("binary")))
     letters, filled = F.length(F.regexp_replace(text, r"[^\p{L}]+", "")), F.length(F.regexp_replace(text, SPACE, ""))
-    quality = 0.5 + 0.5 * F.coalesce(letters / F.when(filled > 0, filled), F.lit(0.0))
+    quality = LEAST + (1 - LEAST) * F.coalesce(letters / F.when(filled > 0, filled), F.lit(0.0))
     rows = docs.select("doc_id", F.col("source"), source_key(F.col("source")).alias("skey"), h.alias("h"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), quality.alias("quality"))
+    rows = rows.groupBy("doc_id", "source", "skey", "h", "size", "quality").agg(F.count("*").alias("count"))
     rows = written(rows, "mixrows")
     n = rows.count()
-    sizes = rows.groupBy("skey").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"))
+    sizes = rows.groupBy("skey").agg(F.max("source").alias("source"), F.sum(F.col("size") * F.col("count")).alias("source_size"))
     targets = source_targets(sizes, weights, most)
     u = (F.shiftright("h", 8).cast("double") + 0.5) / float(1 << 52)
-    rows = rows.withColumn("key", -F.log(u) / F.col("quality"))
+    rows = rows.withColumn("key", -F.log(u) / F.col("quality")).withColumn("group_size", F.col("size") * F.col("count"))
+    # keys fall at rates from LEAST to 1, so a bucket, of equal shares at the rate LEAST, has at most 1 / LEAST times its share
     buckets = max(1, n // ROWS_PER_BUCKET)
-    rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets))
-    rows = running_sum(rows, ["skey"], "bucket", ["key", "h", "doc_id"], "size", "before")
+    rows = rows.withColumn("bucket", F.floor((1 - F.exp(-LEAST * F.col("key"))) * buckets))
+    rows = running_sum(rows, ["skey"], "bucket", ["key", "h", "doc_id"], "group_size", "before")
     plan = rows.join(targets, "skey")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    budget = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long")
-    part = F.greatest(F.lit(0).cast("long"), F.least("size", budget - F.col("before")))
-    return plan.withColumn("taken", (epochs * F.col("size") + part).cast("long")).select("doc_id", "skey", "h", "size", "source_size", "target", "taken")
+    left = F.greatest(F.lit(0).cast("long"), F.floor(F.col("target") - epochs * F.col("source_size")).cast("long") - F.col("before"))
+    plan = plan.withColumns({"base": epochs * F.col("size"), "left": F.least("group_size", left)})
+    full = F.when(F.col("size") > 0, F.expr("left div size")).otherwise(F.lit(0)).cast("long")
+    plan = plan.withColumn("full", full).withColumn("rest", F.col("left") - F.col("full") * F.col("size"))
+    part = (F.col("rest") > 0).cast("long")
+    shares = F.array(
+        F.struct((F.col("base") + F.col("size")).alias("taken"), F.col("full").alias("many")), F.struct((F.col("base") + F.col("rest")).alias("taken"), part.alias("many")),
+        F.struct(F.col("base").alias("taken"), (F.col("count") - F.col("full") - part).alias("many")),
+    )
+    plan = plan.withColumn("share", F.explode(F.filter(shares, lambda x: x["many"] > 0)))
+    return plan.select("doc_id", "skey", "h", "size", "source_size", "target", "share.taken", "share.many")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """The documents as the mix takes them: whole copies, and one cut to its first words where the budget ends.
 
     Columns are those of ``docs``; ``n_chars`` follows a cut text. Documents of which nothing is taken are left out,
-    but those without a word stay once.
+    but those without a word stay once. Rows equal in id, text and source are numbered in spans, and as many take each
+    amount as the plan says.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     plan = sample_plan(docs, weights, most)
-    # equal rows share a hash; how many of them take how much is one list, as short as there are amounts
-    plan = plan.groupBy("h", "size", "taken").agg(F.count("*").alias("many"))
-    plan = plan.groupBy("h", F.col("size").alias("_size")).agg(F.sort_array(F.collect_list(F.struct("taken", "many"))).alias("_shares"), F.sum("many").alias("_rows"))
-    keyed = docs.withColumn("_h", hash60(F.col("doc_id"), F.md5(text.cast("binary"))))
-    joined = keyed.join(plan.withColumnRenamed("h", "_h"), "_h")
-    one = F.row_number().over(W.partitionBy("_h").orderBy("_h"))
-    alone = joined.filter("_rows = 1").withColumn("_taken", F.expr("_shares[0].taken"))
-    tied = joined.filter("_rows > 1").withColumn("_row", one)
-    tied = tied.withColumn("_taken", F.expr("aggregate(_shares, struct(0L as seen, -1L as taken), (a, s) -> struct(a.seen + s.many as seen, if(a.taken < 0 and _row <= a.seen + s.many, s.taken, a.taken) as taken), a -> a.taken)")).drop("_row")
-    every = alone.unionByName(tied)
-    whole = F.array_repeat(F.lit(-1).cast("long"), F.expr("cast(if(_size = 0, 1L, _taken div _size) as int)"))
-    rest = F.expr("if(_size = 0, 0L, _taken % _size)")
-    every = every.withColumn("_keep", F.explode(F.when(rest > 0, F.concat(whole, F.array(rest))).otherwise(whole)))
-    head = F.expr(r"array_join(slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), 1, cast(_keep as int)), ' ')")
-    cut = F.col("_keep") >= 0
-    every = every.withColumn("text", F.when(cut, head).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        every = every.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return every.select(*docs.columns)
+    plan = plan.groupBy("h", "skey", "size").agg(F.sort_array(F.collect_list(F.struct("taken", "many"))).alias("shares"), F.sum("many").alias("equal"))  # three shares at most
+    plan = written(plan, "shares")
+    keyed = docs.select(hash60(F.col("doc_id"), F.md5(text.cast("binary"))).alias("h"), source_key(F.col("source")).alias("skey"), row_of(docs))
+    every = keyed.join(plan.filter("equal = 1"), ["h", "skey"]).withColumn("taken", F.expr("shares[0].taken"))
+    ties = plan.filter("equal > 1").withColumn("tie", F.concat_ws("|", F.col("h").cast("string"), "skey"))
+    if ties.limit(1).count():
+        tied = numbered(keyed.join(ties, ["h", "skey"]), "tie", "n").drop("tie")
+        tied = tied.withColumn("taken", F.expr("aggregate(shares, struct(0L as seen, -1L as taken), (a, s) -> struct(a.seen + s.many as seen, if(a.taken < 0 and n < a.seen + s.many, s.taken, a.taken) as taken), a -> a.taken)")).drop("n")
+        every = every.unionByName(tied)
+    whole = F.array_repeat(F.lit(-1).cast("long"), F.expr("cast(if(size = 0, 1L, taken div size) as int)"))
+    rest = F.expr("if(size = 0, 0L, taken % size)")
+    every = every.withColumn("keep", F.explode(F.when(rest > 0, F.concat(whole, F.array(rest))).otherwise(whole)))
+    head = F.expr(r"array_join(slice(regexp_extract_all(row.text, '[^\\x20\\x09-\\x0D]+', 0), 1, cast(keep as int)), ' ')")
+    changed = {"text": head} | ({"n_chars": F.length(head).cast("long")} if "n_chars" in docs.columns else {})
+    columns = [F.when(F.col("keep") >= 0, changed[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return every.select(*columns)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     """Every document's part in the mix: doc_id, size, source_size, target, taken."""
-    return sample_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return copied(sample_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "many"), "many")
 
 
 OP6_SQL = r"""

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60, table, written
+from .common import copied, hash60, numbered, row_of, table, written
 
 BITS = 60
 LIMIT = 1 << 20
@@ -65,7 +65,8 @@ def shard_documents(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     The hash is of the document's id and text, so rows without an id spread too and no source or group of copies
     with ids of their own meets in one shard. Null texts have 0 bytes. Rows equal in id and text are interchangeable:
-    they are counted before they move, placed as a group and dealt out again. No table's rows: no shards.
+    they are counted before they move, placed as a group and dealt out again. A text of any length is one row, in a
+    part of its own above the limit; other columns are not looked at. No rows: no shards.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     rows = docs.select("doc_id", hash60(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("h"), size.alias("n_bytes"))
@@ -73,20 +74,28 @@ def shard_documents(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     placed, directory = shards(rows, limit)
     placed = placed.join(directory, ["depth", "prefix", "part"])
     label = shard_label(F.col("depth"), F.col("prefix")).alias("shard")
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy")
-    return placed.select("doc_id", "n_bytes", label, "depth", "part", "shard_bytes", copies).drop("copy")
+    return copied(placed.select("doc_id", "n_bytes", label, "depth", "part", "shard_bytes", "count"), "count")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write whole documents into one folder per shard (shard=<bits>/part=<n>)."""
-    h = hash60(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    rows = docs.select(h.alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    """Write whole documents, with all their columns, into one folder per shard (shard=b<bits>/part=<n>).
+
+    Where copies of one row are cut into parts, they are numbered in an order that is written down first, and each
+    part takes as many as fit, so a task run again neither loses nor doubles rows.
+    """
+    h = hash60(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("h")
+    rows = docs.select(h, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     placed, _ = shards(rows.groupBy("h", "n_bytes").agg(F.count("*").alias("count")), limit)
     shard = F.concat(F.lit("b"), shard_label(F.col("depth"), F.col("prefix"))).alias("shard")
-    placed = placed.groupBy("h", shard).agg(F.max("part").alias("last"))
-    spread = F.floor(F.rand(7) * (F.col("last") + 1)).cast("long")
-    out = docs.withColumn("h", h).join(placed, "h").withColumn("part", spread).drop("h", "last")
-    out.repartition("shard", "part").write.mode("overwrite").partitionBy("shard", "part").parquet(path)
+    placed = written(placed.groupBy("h", shard).agg(F.max("part").alias("last"), F.max("count").alias("each")), "parts")
+    keyed = docs.select(h, row_of(docs))
+    out = keyed.join(placed.filter("last = 0"), "h").withColumn("part", F.lit(0).cast("long"))
+    if placed.filter("last > 0").limit(1).count():
+        cut = numbered(keyed.join(placed.filter("last > 0"), "h"), "h", "n")
+        out = out.unionByName(cut.withColumn("part", F.expr("n div each")).drop("n"))
+    out = out.repartition("shard", "part")
+    inner = [c for c in docs.columns if c not in ("shard", "part")]
+    out.select(*[F.col(f"row.`{c}`").alias(c) for c in inner], "shard", "part").write.mode("overwrite").partitionBy("shard", "part").parquet(path)
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_kernel import BYTE_CODE, SPACE_BYTE, lean, slices, word_hashes
-from .common import shuffle_parts, table, whole_groups, written
+from .common import row_of, shuffle_parts, table, whole_groups, written
 
 #: A chunk may end behind a blank where the gear hash of the 16 bytes up to it meets CUT of 32 values, and does unless
 #: it might have within the APART words before: every 6.8 words, and never after one or two, which would often repeat
@@ -139,7 +139,8 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     many characters, half of them beyond ASCII, as in scripts without blanks. ``tag`` is of the text's hash, for rows
     that share an id; rows equal in both are one document. Null and empty texts have no spans; null ids come
     last and are told apart by their texts. Digests are counted before they move, so a passage that a third of all
-    documents share costs one row a task; joined back, it is split by size.
+    documents share costs one row a task; joined back, it is split by size. An empty table gives no spans; columns
+    beside doc_id and text are not looked at.
     """
     spark = docs.sparkSession
     rows = docs.filter("text is not null").select(document_key(F.col("doc_id"), F.col("text")).alias("did"), text_tag(F.col("text")).alias("tag"), "text")
@@ -156,7 +157,10 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
 
 def _cut(batches):
     for batch in batches:
-        texts, spans = batch.column("text").to_pylist(), batch.column("_spans").to_pylist()
+        spans = batch.column("spans").to_pylist()
+        rows = batch.column("row")
+        names = [f.name for f in rows.type]
+        texts = rows.field(names.index("text")).to_pylist()
         out = []
         for text, own in zip(texts, spans, strict=True):
             if own:
@@ -166,17 +170,17 @@ def _cut(batches):
                     at = s["start"] + s["length"]
                 text = b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
             out.append(text)
-        yield batch.set_column(batch.schema.get_field_index("text"), pa.field("text", pa.string()), pa.array(out, pa.string())).drop_columns(["_spans"])
+        columns = [pa.array(out, pa.string()) if name == "text" else rows.field(i) for i, name in enumerate(names)]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The documents with repeated spans cut out of their texts; ``n_chars`` follows. Documents stay, even empty."""
-    spans = repeated_spans(docs, least_words).groupBy("did", "tag").agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
-    spans = spans.withColumnsRenamed({"did": "_did", "tag": "_tag"})
-    keyed = docs.withColumns({"_did": document_key(F.col("doc_id"), F.col("text")), "_tag": text_tag(F.col("text"))})
-    joined = keyed.join(spans, ["_did", "_tag"], "left").drop("_did", "_tag")
+    """The documents, with all their columns, and repeated spans cut out of their texts; ``n_chars`` follows. Documents
+    stay, even empty."""
+    spans = repeated_spans(docs, least_words).groupBy("did", "tag").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    keyed = docs.select(document_key(F.col("doc_id"), F.col("text")).alias("did"), text_tag(F.col("text")).alias("tag"), row_of(docs))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = joined.select(*docs.columns, "_spans").mapInArrow(lean(_cut), schema)
+    out = keyed.join(spans, ["did", "tag"], "left").select("row", "spans").mapInArrow(lean(_cut), schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

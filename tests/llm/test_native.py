@@ -111,3 +111,54 @@ def test_small_sources_stop_at_three_times(docs_frame):
     assert (mixed.source == "b").sum() == 6 and list(mixed.columns) == docs.columns
     assert mixed.text.str.split().str.len().sum() == out.taken.sum()
     assert mixing.sample_plan(docs_frame([])).count() == 0 and mixing.sample_plan(docs_frame([None, ""])).toPandas().taken.sum() == 0
+
+
+def test_equal_rows_of_a_budget(docs_frame):
+    """Copies of one row share what the budget leaves: some whole, one in part, and reruns and texts agree."""
+    docs = docs_frame(["w w w w"] * 40 + ["v"] * 200, ["a"] * 40 + ["b"] * 200, ids=[None] * 40 + list(range(200)))
+    docs = docs.selectExpr("*", "1 as h", "2 as taken", "3 as _size", "4 as row", "5 as many")
+    plan = mixing.sample_plan(docs).toPandas()
+    own = plan[plan.doc_id.isna()]
+    assert own.many.sum() == 40 and abs((own.taken * own.many).sum() - own.target.iloc[0]) <= 1 and len(own) <= 3
+    mixed = mixing.mixed_documents(docs).toPandas()
+    assert mixed[mixed.source == "a"].text.str.split().str.len().sum() == (own.taken * own.many).sum()
+    assert mixed.columns.tolist() == docs.columns and (mixed.h == 1).all() and (mixed.many == 5).all()
+    assert mixing.mixed_documents(docs_frame([])).count() == 0
+
+
+def test_many_copies_of_a_row(spark, monkeypatch):
+    from evidora.llm import common
+
+    monkeypatch.setattr(common, "ROWS_PER_BUCKET", 16)
+    rows = spark.createDataFrame([("a", 1), ("b", 16), ("c", 100)], "k string, n long")
+    assert dict(common.copied(rows, "n").groupBy("k").count().collect()) == {"a": 1, "b": 16, "c": 100}
+    n = common.numbered(common.copied(rows, "n"), "k", "place").groupBy("k").agg(F.countDistinct("place").alias("d"), F.max("place").alias("m")).collect()
+    assert {r["k"]: (r["d"], r["m"]) for r in n} == {"a": (1, 0), "b": (16, 15), "c": (100, 99)}
+
+
+def test_parts_written_hold_every_copy_once(spark, docs_frame, tmp_path):
+    docs = docs_frame(["y" * 100] * 50 + ["z" * 100_000], ids=[None] * 50 + [1]).selectExpr("*", "1 as h", "2 as part", "3 as last")
+    sharding.write_shards(docs, f"{tmp_path}/out", 1000)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == 51 and out.filter("doc_id is null").groupBy("shard", "part").count().agg(F.max("count")).first()[0] <= 10
+    assert out.select("h", "last").distinct().collect() == [(1, 3)]
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster():
+    from evidora.llm import common
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, other: other)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Session)
+
+
+def test_long_urls(spark):
+    pages = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "com/en/x"), (2, "http://h.test/" + "p" * 200_000)], "page_id long, url string")
+    out = {r["page_id"]: r for r in url_filters.url_filter(pages, F.lit(0)).collect()}
+    assert out[1]["rule"] == "com/en/" and len(out[2]["path"]) == 200_001

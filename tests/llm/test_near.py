@@ -241,3 +241,61 @@ def test_recall_in_a_dense_cloud(spark):
     share = out.n_links.sum() / degree.sum()
     print("share of links", share, "of", degree.sum())
     assert share >= 0.97
+
+
+def test_vectors_of_several_lengths_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0, 0.0]), (4, [2.0, 0.01]), (4, [0.0, 1.0]), (None, [0.0, 2.0]), (6, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as node", "2 as path", "3 as low")
+    out = embedding_dedup.near_vectors(df).toPandas()
+    assert len(out) == 7 and out[out.vec_id.isin([1, 3])].n_links.tolist() == [1, 1]
+    assert sorted(out[out.vec_id == 4].n_links) == [1, 1] and out[out.vec_id == 6].n_links.tolist() == [0]
+    assert out[out.vec_id == 3].component_id.tolist() == [1] and out[out.vec_id == 2].component_id.tolist() == [2]
+
+
+def test_neighbours_tie_across_the_last_place(spark):
+    rows = [(i, [1.0, 0.0]) for i in (1, 9, 11, 13, 15)] + [(5, [2.0, 0.0]), (50, [1.0, 0.5]), (100, [1.0, 2.0, 3.0]), (101, [2.0, 4.0, 6.1]), (None, [1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as cell", "2 as key")
+    out = ann.nearest_neighbours(df, df.filter("vec_id % 50 = 0")).toPandas().sort_values(["query_id", "rank"])
+    assert out[out.query_id == 50].vec_id.tolist() == [1, 5, 9, 11, 13] and out[out.query_id == 100].vec_id.tolist() == [101]
+
+
+def test_cells_that_grow_on(spark, monkeypatch):
+    """A forest of several levels, with hot cells in blocks, finds what brute force finds."""
+    monkeypatch.setattr(ann, "SAMPLE", 256)
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 16))
+    x = centres[rng.integers(0, 60, 3000)] + 0.4 * rng.normal(size=(3000, 16))
+    x[:500] = x[0] * rng.integers(1, 6, (500, 1))  # one direction, which no plane splits
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = ann.nearest_neighbours(df, df.filter("vec_id % 50 = 0"), cell_rows=40).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q, own in out.groupby("query_id"):
+        score = u @ u[q]
+        score[q] = -2
+        hits += (own.score.to_numpy() >= np.sort(score)[-5] - 1e-9).sum()
+        assert len(own) == 5 and np.allclose(own.score, score[own.vec_id])
+    assert out.query_id.nunique() == 60 and hits / 300 >= 0.9
+
+
+def test_buckets_in_blocks(spark, monkeypatch):
+    """Buckets beyond a block are compared in tasks of two blocks each, and nothing is lost."""
+    from evidora.llm import near_links
+
+    monkeypatch.setattr(near_links, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(20, 24)), 20, axis=0) + 0.02 * rng.normal(size=(400, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = embedding_dedup.near_vectors(df).toPandas().sort_values("vec_id")
+    assert out.n_links.tolist() == ((u @ u.T >= 0.95).sum(1) - 1).tolist()
+
+
+def test_clashing_columns_and_empty_tables(docs_frame, prose):
+    docs = docs_frame([prose(80, 1), prose(80, 1), prose(80, 2)]).selectExpr("*", "1 as _key", "2 as tk", "3 as _did", "4 as _tag", "5 as _spans", "6 as row", "7 as id", "8 as kept_id")
+    for f, n in ((ngram_join.without_near_duplicates, 2), (substring_dedup.without_repeats, 3)):
+        out = f(docs)
+        assert out.columns == docs.columns and out.count() == n
+        assert out.select("_key", "tk", "row", "kept_id").distinct().collect() == [(1, 2, 6, 8)]
+        assert f(docs_frame([])).count() == 0

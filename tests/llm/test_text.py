@@ -119,6 +119,99 @@ def test_language_edges(docs_frame):
     assert language.family("en") == language.family("de") != language.family("fr") and language.family("xx") == "xx"
 
 
+def test_pipeline_stages_meet_odd_rows(spark, docs_frame, prose, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, no rows, and columns that are named like the stages' own."""
+    import corpus_pipeline
+
+    t = prose(120, 5)
+    docs = docs_frame([None, None, "", " ", t, t, t, prose(20_000, 6), "x" * 20_000, prose(60, 7)], ids=[None, 1, 2, None, 4, 4, None, 7, 8, 9], sources=["a", None, "b", "a", "a", "a", None, "b", None, "b"])
+    extra = ("_toxicity", "_key", "tk", "h", "_did", "spans", "taken", "row", "at", "size", "score")
+    docs = docs.selectExpr("*", *[f"cast({k} as int) as {c}" for k, c in enumerate(extra)])
+    spark.createDataFrame([(9, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, str(tmp_path))
+            assert out.columns == docs.columns, name
+            got = out.toPandas()
+            assert all((got[c] == k).all() for k, c in enumerate(extra)), name
+            assert len(got) == 0 if rows is not docs else len(got) > 0
+        assert stage(spark, rows, str(tmp_path)).count() >= 0
+        corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).count()
+
+
+def test_pipeline_against_plain_python(spark, docs_frame, prose, plain, tmp_path):
+    """Each stage's rows against a plain version of it, on a small table with copies, toxic texts and repeats."""
+    import random
+    from collections import Counter
+
+    import corpus_pipeline
+    from evidora.llm import mixing, substring_dedup
+
+    rng = random.Random(11)
+    texts = [prose(rng.randint(40, 90), 300 + i) for i in range(60)]
+    passage = prose(70, 999)
+    for i in range(0, 12):
+        texts[i] = f"{texts[i]} {passage} {prose(25, 700 + i)}"
+    texts += [texts[20], texts[20], texts[21].replace(texts[21].split()[5], "other", 1)]
+    texts[40:50] = [t + " scumbo idiotix" for t in texts[40:50]]
+    sources = [["a", "b", None][i % 3] for i in range(len(texts))]
+    docs = docs_frame(texts, sources)
+    spark.createDataFrame([(i, 1, int("scumbo" in t)) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    model = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    score = model.scores(pa.array(texts))
+    one = stages["toxicity"](spark, docs, str(tmp_path)).toPandas()
+    assert sorted(one.doc_id) == [i for i in range(len(texts)) if score[i] < 0.3]
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, group = {r.doc_id: shingles(r.text) for r in one.itertuples()}, {}
+    for i in sorted(sets):  # the fixture's groups are cliques
+        near = [j for j in sorted(group) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        group[i] = group[near[0]] if near else i
+    two = stages["near_duplicates"](spark, spark.createDataFrame(one, docs.schema), str(tmp_path)).toPandas()
+    assert sorted(two.doc_id) == sorted(set(group.values())) and len(two) < len(one)
+
+    seen, expected = set(), {}
+    chunks = {}
+    for r in two.sort_values("doc_id").itertuples():
+        raw = np.frombuffer(r.text.encode(), np.uint8)
+        ends = substring_dedup.chunk_ends(raw, np.array([0, len(raw)])).tolist()
+        chunks[r.doc_id] = [raw[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    for i in sorted(chunks):
+        repeat = [c in seen or c in chunks[i][:k] for k, c in enumerate(chunks[i])]
+        out, k = b"", 0
+        while k < len(repeat):
+            end = k
+            while end < len(repeat) and repeat[end] == repeat[k]:
+                end += 1
+            run = b"".join(chunks[i][k:end])
+            out += b"" if repeat[k] and len(run.split()) >= substring_dedup.LEAST_WORDS else run
+            k = end
+        seen |= set(chunks[i])
+        expected[i] = out.decode()
+    three = stages["substring_dedup"](spark, spark.createDataFrame(two, docs.schema), str(tmp_path)).toPandas()
+    assert dict(zip(three.doc_id, three.text, strict=True)) == expected and sum(len(t) for t in expected.values()) < two.text.str.len().sum()
+
+    frame = spark.createDataFrame(three, docs.schema)
+    plan = mixing.sample_plan(frame).toPandas()
+    four = stages["mixing"](spark, frame, str(tmp_path)).toPandas()
+    words = Counter()
+    for r in four.itertuples():
+        words[r.doc_id] += len(r.text.split())
+    assert {i: n for i, n in words.items() if n} == {r.doc_id: r.taken for r in plan.itertuples() if r.taken}
+
+    five = stages["packing"](spark, spark.createDataFrame(four, docs.schema), str(tmp_path)).toPandas()
+    assert five.length.sum() == sum(len(plain.encode(t, add_special_tokens=False).ids) + 1 for t in four.text)
+    whole = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert whole.groupby("doc_id").length.sum().equals(five.groupby("doc_id").length.sum()) and set(whole.columns) >= set(key)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -132,3 +225,31 @@ def test_pipeline(spark):
     assert 0 < out.doc_id.nunique() <= n
     sizes = out.groupby("sequence_id").length.sum()
     assert (sizes != 2048).sum() <= 11
+
+
+def test_language_sample(docs_frame, prose):
+    """A language of long texts only is learned; repeated rows, ids and clashing columns are harmless."""
+    long = [" ".join(["der Hund und die Katze"] * 4000)] * 12
+    docs = docs_frame(["the cat and the dog"] * 300 + long + [prose(30_000, 1)], langs=["en"] * 300 + ["de"] * 12 + [None], ids=[1] * 300 + list(range(100, 112)) + [None])
+    docs = docs.selectExpr("*", "1 as share", "2 as h", "3 as x", "4 as score", "5 as letters")
+    out = language.identify(docs, language.train(docs)).toPandas()
+    assert len(out) == 313 and (out[out.doc_id >= 100].lang_pred == "de").all() and (out[out.doc_id == 1].lang_pred == "en").all()
+    empty = docs_frame([])
+    assert language.identify(empty, language.train(docs)).count() == 0 and language.train(empty).members == {}
+
+
+def test_contradicting_labels(docs_frame, spark, prose):
+    docs = docs_frame([prose(30, i) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, 1 - i % 2) for i in range(40)], "doc_id long, toxic int")
+    out = toxicity.judge(docs, labels).toPandas()
+    assert (out.predicted == 0).all() and out.score.nunique() == 1
+    clash = docs.selectExpr("*", "1 as threshold", "0.5D as score", "2 as h")
+    scored = toxicity.score(clash, toxicity.train(clash, labels)).toPandas()
+    assert scored.columns.tolist().count("score") == 1 and (scored.score < 0.3).all()
+    assert toxicity.judge(docs_frame([]), labels).count() == 0
+
+
+def test_packing_of_long_texts_and_clashing_columns(docs_frame, prose):
+    docs = docs_frame([prose(60_000, 3), "a", None], ["s", None, "t"]).selectExpr("*", "1 as tk", "2 as at", "3 as n", "4 as skey", "5 as bucket")
+    out = packing.pack_documents(docs).toPandas()
+    assert set(out.doc_id) == {0, 1, 2} and out.groupby("doc_id").length.sum().equals(out.groupby("doc_id").doc_tokens.first())
