@@ -62,16 +62,22 @@ def context_window(text: Column, name: Column, size: int = 400) -> Column:
     return F.substring(text, (start + 1).cast("int"), F.lit(size))
 
 
-_DASHES = re.compile("[‐‑‒–—―−]")
-_MATH = re.compile(r"(\$[^$]*\$)")
+#: Dashes that count as hyphens, maths that keeps its marks, and marks that a key doesn't end with.
+DASHES = str.maketrans("–—−", "---")
+MATHS_OR_EMPHASIS = re.compile(r"(\\\(.+?\\\)|\$[^$]+\$)|[*`_]", re.S)
+END_MARKS = ".,:;!\"'()[]{}"
 
 
 def normal_heading(text: str) -> str:
-    """A heading as a key: NFKC, plain dashes, no emphasis outside maths, no accents, one blank, no end marks."""
-    s = _DASHES.sub("-", unicodedata.normalize("NFKC", text or ""))
-    s = "".join(p if p.startswith("$") else re.sub(r"[*`_]", "", p) for p in _MATH.split(s)).lower()
+    """A heading as a key: NFKC, plain hyphens, no emphasis outside maths, lower case, no accents, single blanks, and no
+    marks at the end but question marks and the end of maths."""
+    s = unicodedata.normalize("NFKC", text or "").translate(DASHES)
+    s = MATHS_OR_EMPHASIS.sub(lambda m: m[1] or "", s).lower()
     s = "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFC", s)).strip().rstrip(".:;,!? ").strip()
+    s = " ".join(s.split())
+    while s.endswith(tuple(END_MARKS)) and not s.endswith("\\)"):
+        s = s[:-1].rstrip()
+    return s
 
 
 def _headings(s: pd.Series) -> pd.Series:

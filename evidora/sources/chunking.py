@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import heapq
+import itertools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -12,13 +15,16 @@ from pyspark.sql import DataFrame
 
 from ..functions.text import normal_heading
 
-#: The patterns of blocks.
-PAGE = re.compile(r"^\s*<!--\s*page:?\s*(\d+)\s*-->\s*$", re.I)
-HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
-FENCE = re.compile(r"^\s*(```+|~~~+)")
-IMAGE = re.compile(r"^\s*!\[[^\]]*\]\([^)]*\)\s*$")
-CAPTION = re.compile(r"^\s*[*_]*(figure|fig\.)\s*\d+", re.I)
-NUMBERED = re.compile(r"^(\d+(?:\.\d+)*)\.?\s+(.*)$")
+#: The forms of lines, without the blanks around them.
+PAGE = re.compile(r"<!--\s*page:?\s*(\d+)\s*-->", re.I)
+HEADING = re.compile(r"(#{1,6})\s+(.*)")
+FENCE = re.compile(r"`{3,}|~{3,}")
+IMAGE = re.compile(r"!\[.*?\]\(.*?\)")
+CAPTION = re.compile(r"(figure|fig\.)\s+\d", re.I)
+NUMBERED = re.compile(r"(\d+(?:\.\d+)*)\s+(.+)")
+CLOSERS = {r"\[": r"\]", "$$": "$$"}
+#: Fixed value: no chunk takes a block beside its overlap beyond so many tokens, or 1.5 times the size.
+HARD_LIMIT = 1500
 TOKENS = re.compile(r"\w+|[^\w\s]")
 
 
@@ -46,84 +52,95 @@ def count_tokens(text: str) -> int:
     return len(TOKENS.findall(text))
 
 
-def parse_blocks(md: str) -> list[Block]:
-    """Blocks in order. Each begins where its first line does; what is unclosed is prose (maths) or runs on (fences)."""
-    lines, at = [], 0
-    for line in md.splitlines(keepends=True):
-        lines.append((line, at))
-        at += len(line)
-    starts = [x[1] for x in lines] + [len(md)]
-    text = [x[0].rstrip("\r\n\v\f\x1c\x1d\x1e\x85  ") for x in lines]
-    n, i, out = len(lines), 0, []
+def line_kind(line: str) -> str:
+    """What a line without the blanks around it would begin."""
+    if not line:
+        return "blank"
+    if PAGE.fullmatch(line):
+        return "page"
+    if HEADING.fullmatch(line):
+        return "heading"
+    if line in CLOSERS:
+        return "math"
+    if FENCE.match(line):
+        return "code"
+    if line.startswith("|"):
+        return "table"
+    return "image" if IMAGE.fullmatch(line) else "text"
 
-    def special(k: int) -> bool:
-        s = text[k]
-        return bool(not s.strip() or PAGE.match(s) or HEADING.match(s) or FENCE.match(s) or IMAGE.match(s) or s.strip().startswith((r"\[", "$$")) or _table(k))
 
-    def _table(k: int) -> bool:
-        return text[k].lstrip().startswith("|") and k + 1 < n and bool(re.match(r"^\s*\|?[\s:|-]+\|[\s:|-]*$", text[k + 1]))
+def parse_blocks(md: str) -> list[Block]:
+    """Blocks in order. Each begins where its first line does and ends with its last line.
+
+    Maths lies between marks that have a line to themselves, and is prose where it isn't closed; a fence that isn't
+    closed runs on to the end; a table is any run of lines that begin with a bar; an image takes the caption that
+    follows, blank lines between, up to the next blank line; prose runs up to a blank line or the start of another kind.
+    """
+    lines = md.splitlines(keepends=True)
+    at = list(itertools.accumulate(map(len, lines), initial=0))
+    text = [x.strip() for x in lines]
+    kinds = [line_kind(x) for x in text]
+    n, i, out = len(lines), 0, []
 
-    def closing(k: int, mark: str) -> int | None:
-        own = text[k].strip()
-        if own.endswith(mark) and len(own) > len(mark) and own != mark:
-            return k
-        return next((j for j in range(k + 1, n) if text[j].strip().endswith(mark)), None)
+    def run(k: int, goes_on: Callable[[int], bool]) -> int:
+        while k < n and goes_on(k):
+            k += 1
+        return k
 
     while i < n:
-        s = text[i]
-        if m := PAGE.match(s):
-            out.append(Block("page", starts[i], starts[i + 1], page=int(m[1])))
-            i += 1
-        elif not s.strip():
-            i += 1
-        elif m := HEADING.match(s):
-            out.append(Block("heading", starts[i], starts[i + 1], len(m[1]), m[2]))
-            i += 1
-        elif s.strip().startswith((r"\[", "$$")) and (j := closing(i, r"\]" if s.strip().startswith(r"\[") else "$$")) is not None:
-            out.append(Block("math", starts[i], starts[j + 1]))
-            i = j + 1
-        elif m := FENCE.match(s):
-            j = next((j for j in range(i + 1, n) if text[j].strip().startswith(m[1])), n - 1)
-            out.append(Block("fence", starts[i], starts[j + 1]))
-            i = j + 1
-        elif _table(i):
-            j = i
-            while j < n and text[j].lstrip().startswith("|"):
-                j += 1
-            out.append(Block("table", starts[i], starts[j]))
-            i = j
-        elif IMAGE.match(s):
-            j = i + 1
-            while j < n and not text[j].strip():
-                j += 1
-            end = i + 1
-            if j < n and CAPTION.match(text[j]):
-                end = j + 1
-                while end < n and not special(end):
-                    end += 1
-            out.append(Block("image", starts[i], starts[end]))
-            i = end
-        else:
-            j = i + 1
-            while j < n and not special(j):
-                j += 1
-            out.append(Block("paragraph", starts[i], starts[j]))
-            i = j
+        kind, end = kinds[i], i + 1
+        if kind == "page":
+            out.append(Block("page", at[i], at[end], page=int(PAGE.fullmatch(text[i])[1])))
+        elif kind == "heading":
+            m = HEADING.fullmatch(text[i])
+            out.append(Block("heading", at[i], at[end], len(m[1]), m[2].strip()))
+        elif kind == "code":
+            mark = FENCE.match(text[i])[0]
+            end = min(n, run(i + 1, lambda k: not text[k].startswith(mark)) + 1)
+            out.append(Block("code", at[i], at[end]))
+        elif kind == "table":
+            end = run(i, lambda k: kinds[k] == "table")
+            out.append(Block("table", at[i], at[end]))
+        elif kind == "image":
+            caption = run(i + 1, lambda k: not text[k])
+            glued = caption < n and CAPTION.match(text[caption])
+            end = run(caption, lambda k: text[k]) if glued else end
+            out.append(Block("figure" if glued else "paragraph", at[i], at[end]))
+        elif kind != "blank":
+            closed = run(i + 1, lambda k: text[k] != CLOSERS[text[i]]) if kind == "math" else n
+            if closed < n:
+                end = closed + 1
+                out.append(Block("math", at[i], at[end]))
+            else:
+                end = run(i + 1, lambda k: kinds[k] == "text")
+                out.append(Block("paragraph", at[i], at[end]))
+        i = end
     return out
 
 
+def _ends(starts_and_levels: list[tuple[int, int]], length: int) -> list[int]:
+    """Where each section ends: at the next one of its level or above. One pass."""
+    ends, open_ = [length] * len(starts_and_levels), []
+    for k, (start, level) in enumerate(starts_and_levels):
+        while open_ and starts_and_levels[open_[-1]][1] >= level:
+            ends[open_.pop()] = start
+        open_.append(k)
+    return ends
+
+
 def heading_spans(blocks: list[Block], length: int) -> list[Span]:
     """Sections from headings: a numbered title's dots give its level, and its number isn't part of the path."""
     heads = []
     for b in blocks:
         if b.kind == "heading":
-            m = NUMBERED.match(b.title)
+            m = NUMBERED.fullmatch(b.title)
             heads.append((b.start, m[1].count(".") + 1 if m else b.level, m[2] if m else b.title))
     out: list[Span] = []
     stack: list[tuple[int, str]] = []
-    for k, (start, level, title) in enumerate(heads):
-        stack = [x for x in stack if x[0] < level] + [(level, title)]
-        end = next((s for s, lv, _ in heads[k + 1 :] if lv <= level), length)
+    for (start, level, title), end in zip(heads, _ends([h[:2] for h in heads], length), strict=True):
+        while stack and stack[-1][0] >= level:
+            stack.pop()
+        stack.append((level, title))
         out.append(Span(start, end, level, "/".join(t for _, t in stack)))
     return out
 
@@ -177,52 +194,63 @@ def toc_spans(blocks: list[Block], entries: list[dict], length: int) -> list[Spa
             used.add(head.start)
             found.append((head.start, e))
     found.sort(key=lambda x: x[0])
-    out = []
-    for k, (start, e) in enumerate(found):
-        end = next((s for s, other in found[k + 1 :] if other["level"] <= e["level"]), length)
-        out.append(Span(start, end, e["level"], "/".join(e.get("title_path") or [e["title"]])))
-    return out
+    ends = _ends([(start, e["level"]) for start, e in found], length)
+    return [Span(start, end, e["level"], "/".join(e.get("title_path") or [e["title"]])) for (start, e), end in zip(found, ends, strict=True)]
 
 
-def deepest(spans: list[Span], at: int) -> Span | None:
-    return max((s for s in spans if s.start <= at < s.end), key=lambda s: (s.level, s.start), default=None)
+def deepest(spans: list[Span], points: list[int]) -> list[Span | None]:
+    """The deepest section at each of the ascending points, the later one on ties. Each section is looked at once."""
+    waiting = sorted(spans, key=lambda s: -s.start)
+    open_: list[tuple[int, int, int, Span]] = []
+    out = []
+    for at in points:
+        while waiting and waiting[-1].start <= at:
+            s = waiting.pop()
+            heapq.heappush(open_, (-s.level, -s.start, len(waiting), s))
+        while open_ and open_[0][3].end <= at:
+            heapq.heappop(open_)
+        out.append(open_[0][3] if open_ else None)
+    return out
 
 
 def pack_blocks(md: str, blocks: list[Block], size: int, overlap: int, count: Callable[[str], int] = count_tokens) -> list[tuple[int, int]]:
-    """Runs of blocks of about ``size`` tokens; a run's last block opens the next one if it has at most ``overlap``.
+    """Runs of blocks of about ``size`` tokens, as their first and last offsets.
 
-    A block that alone exceeds ``size`` makes a run of its own, behind one of the overlap carried before it.
+    A run's last block, even its only one, opens the next run too if it has at most ``overlap`` tokens. Where nothing
+    fits beside it, one more block is taken all the same, up to HARD_LIMIT or 1.5 times the size; a longer block makes
+    a run of its own.
     """
+    hard = min(HARD_LIMIT, max(size, size * 3 // 2))
+    n = [count(md[b.start : b.end]) for b in blocks]
     out: list[tuple[int, int]] = []
-    held: list[tuple[Block, int]] = []
-    fresh = False
-    for b in blocks:
-        n = count(md[b.start : b.end])
-        if held and sum(k for _, k in held) + n > size:
-            out.append((held[0][0].start, held[-1][0].end))
-            last = held[-1]
-            held = [last] if fresh and len(held) > 1 and last[1] <= overlap else []
-            if held and held[0][1] + n > size:
-                out.append((held[0][0].start, held[0][0].end))
-                held = []
-        held.append((b, n))
-        fresh = True
-    if held and fresh:
-        out.append((held[0][0].start, held[-1][0].end))
-    return list(dict.fromkeys(out))
+    first = new = 0  # the run's first block, and its first that no run before it has
+    while new < len(blocks):
+        total, beyond = sum(n[first:new]), new
+        while beyond < len(blocks) and (beyond == first or total + n[beyond] <= size):
+            total += n[beyond]
+            beyond += 1
+        if beyond == new:
+            if n[new] > hard:
+                out.append((blocks[first].start, blocks[first].end))
+                first = new
+            beyond = new + 1
+        out.append((blocks[first].start, blocks[beyond - 1].end))
+        first = beyond - 1 if n[beyond - 1] <= min(overlap, hard) else beyond
+        new = beyond
+    return out
 
 
 def chunk_document(doc_id: str, md: str, toc: list[dict] | None = None, size: int = 500, overlap: int = 50, count: Callable[[str], int] = count_tokens) -> list[dict]:
     """Chunks of one document: none crosses a section's border, each is a slice of the text."""
     blocks = parse_blocks(md)
-    rich = bool(toc) and all(e.get("title_path") for e in toc)
+    rich = bool(toc) and {"id", "title_path", "match"} <= set(toc[0])
     spans = toc_spans(blocks, toc, len(md)) if rich else []
     spans = spans or heading_spans(blocks, len(md))
-    markers = [(b.start, b.page) for b in blocks if b.kind == "page"]
+    marks = [b.start for b in blocks if b.kind == "page"]
+    pages = [b.page for b in blocks if b.kind == "page"]
     body = [b for b in blocks if b.kind != "page"]
     regions: list[tuple[str, list[Block]]] = []
-    for b in body:
-        section = deepest(spans, (b.start + b.end) // 2)
+    for b, section in zip(body, deepest(spans, [(b.start + b.end) // 2 for b in body]), strict=True):
         path = section.path if section else ""
         if regions and regions[-1][0] == path:
             regions[-1][1].append(b)
@@ -234,13 +262,11 @@ def chunk_document(doc_id: str, md: str, toc: list[dict] | None = None, size: in
             text = md[start:end]
             if not text.strip():
                 continue
-            before = [p for s, p in markers if s <= start]
-            within = [p for s, p in markers if start <= s < end]
-            pages = before[-1:] + within
+            on = pages[max(0, bisect.bisect_right(marks, start) - 1) : bisect.bisect_left(marks, end)]
             out.append(
                 {
                     "id": hashlib.sha256(f"{doc_id}|{start}|{end}".encode()).hexdigest(), "doc_id": doc_id, "text": text, "token_count": count(text),
-                    "start_offset": start, "end_offset": end, "page_start": pages[0] if pages else None, "page_end": pages[-1] if pages else None,
+                    "start_offset": start, "end_offset": end, "page_start": on[0] if on else None, "page_end": on[-1] if on else None,
                     "section_path": path, "content_hash": hashlib.sha256(text.encode()).hexdigest(), "position": len(out),
                 }
             )

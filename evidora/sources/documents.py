@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import warnings
 from collections.abc import Callable
 
 import pandas as pd
@@ -25,8 +26,8 @@ class SourceError(ValueError):
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """(path, content, folder, stem, kind) of the Markdown and PDF files below ``path``; a missing path is an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.select("path", "content").filter(F.lower("path").rlike(r"\.(md|pdf|json)$"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[mM][dD],[pP][dD][fF],[jJ][sS][oO][nN]}").load(path)
+    files = files.select("path", "content")
     name = F.element_at(F.split("path", "/"), -1)
     folder = F.substring_index("path", "/", -1)
     return files.withColumns({"folder": F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)))"), "stem": F.regexp_replace(name, r"\.[^.]*$", ""), "kind": F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1))}).withColumn("name", folder)
@@ -54,38 +55,65 @@ def with_toc(files: DataFrame) -> DataFrame:
 
 
 def load_toc(raw: str) -> dict:
-    """A validated table of contents {document_title, entries}; a bare list is taken as the legacy form."""
+    """A validated table of contents {document_title, entries}; a bare list is taken as the legacy form.
+
+    Entries of one key whose pages overlap are kept with a warning: which heading each takes is then left to order.
+    """
     data = json.loads(raw)
     if isinstance(data, list):
-        return {"document_title": None, "entries": upgrade_legacy(data)}
-    if data.get("schema_version") != 1:
+        title, entries = None, upgrade_legacy(data)
+    elif not isinstance(data, dict):
+        raise SourceError("a table of contents is an object or a list")
+    elif data.get("schema_version") != 1:
         raise SourceError(f"unsupported schema_version {data.get('schema_version')!r}")
-    entries = data.get("entries") or []
-    ids = [e.get("id") for e in entries]
-    if len(set(ids)) != len(ids):
-        raise SourceError("repeated entry ids")
+    elif "entries" not in data:
+        raise SourceError("entries are missing")
+    else:
+        title, entries = data.get("document_title"), list(data["entries"])
+    ids = [e["id"] for e in entries]
     known = set(ids)
+    if len(known) != len(ids):
+        raise SourceError("repeated entry ids")
+    keyed: dict[str, list[dict]] = {}
     for e in entries:
-        if not e.get("title_path") or e["title_path"][-1] != e.get("title"):
-            raise SourceError(f"title_path of {e.get('id')} does not end with its title")
-        if e.get("parent_id") is not None and e["parent_id"] not in known or any(c not in known for c in e.get("children") or []):
-            raise SourceError(f"{e.get('id')} names an unknown entry")
-        key = (e.get("match") or {}).get("normalized_key")
-        if key is not None and key != normal_heading((e.get("match") or {}).get("heading_text") or e["title"]) and key != normal_heading(e["title"]):
-            raise SourceError(f"normalized_key of {e.get('id')} disagrees with its heading")
-    return {"document_title": data.get("document_title"), "entries": entries}
+        match = e.get("match") or {}
+        key = match.get("normalized_key", "")
+        if (e.get("title_path") or [None])[-1] != e.get("title", ""):
+            raise SourceError(f"title_path of {e['id']} does not end with its title")
+        if (int(e["level"]) > 1 and e.get("parent_id") is not None and e["parent_id"] not in known) or not known.issuperset(e.get("children") or []):
+            raise SourceError(f"{e['id']} names an unknown entry")
+        if key != normal_heading(match.get("heading_text", "")):
+            raise SourceError(f"normalized_key of {e['id']} disagrees with its heading")
+        if e.get("page_start") is not None and e.get("page_end") is not None:
+            keyed.setdefault(key, []).append(e)
+    for key, own in keyed.items():
+        own = sorted(own, key=lambda e: e["page_start"])
+        last = None
+        for e in own:
+            if last is not None and e["page_start"] <= last["page_end"]:
+                warnings.warn(f"entries {last['id']} and {e['id']} share the key {key!r} and pages", stacklevel=2)
+            last = e if last is None or e["page_end"] > last["page_end"] else last
+    return {"document_title": title, "entries": entries}
 
 
 def upgrade_legacy(rows: list[dict]) -> list[dict]:
-    """Entries with ids, parents and title paths from {level, title, page} in order."""
+    """Entries with ids, parents, title paths and keys from {level, title, page} in order."""
+    from .chunking import NUMBERED
+
     out: list[dict] = []
     stack: list[dict] = []
     for k, row in enumerate(rows):
-        level = int(row["level"])
-        stack = [e for e in stack if e["level"] < level]
-        e = {"id": f"e{k}", "level": level, "title": row["title"], "title_path": [x["title"] for x in stack] + [row["title"]], "page_start": row.get("page"), "page_end": row.get("page"), "parent_id": stack[-1]["id"] if stack else None, "children": []}
-        if stack:
-            stack[-1]["children"].append(e["id"])
+        level, title = int(row["level"]), str(row["title"])
+        while stack and stack[-1]["level"] >= level:
+            stack.pop()
+        parent, number = (stack[-1] if stack else None), NUMBERED.fullmatch(title)
+        e = {
+            "id": f"legacy-{k}", "level": level, "number": number and number[1], "title": title, "title_path": [*(x["title"] for x in stack), title],
+            "page_start": row.get("page"), "page_end": row.get("page"), "parent_id": parent and parent["id"], "children": [],
+            "match": {"heading_text": title, "normalized_key": normal_heading(title), "strategy": "exact_normalized"},
+        }
+        if parent:
+            parent["children"].append(e["id"])
         stack.append(e)
         out.append(e)
     return out
@@ -99,7 +127,7 @@ def toc_from_headings(md: str) -> list[dict]:
     for b in parse_blocks(md):
         page = b.page if b.kind == "page" else page
         if b.kind == "heading":
-            m = NUMBERED.match(b.title)
+            m = NUMBERED.fullmatch(b.title)
             out.append({"level": m[1].count(".") + 1 if m else b.level, "title": b.title, "page": page})
     return out
 

@@ -16,7 +16,7 @@ MD = "<!-- page: 1 -->\n# Sample\n\nIntro text.\n\n## 1 First\n\nAlpha beta.\n\n
 
 def test_blocks():
     kinds = [b.kind for b in chunking.parse_blocks(MD)]
-    assert kinds == ["page", "heading", "paragraph", "heading", "paragraph", "math", "page", "heading", "image", "fence", "table", "heading", "paragraph", "paragraph"]
+    assert kinds == ["page", "heading", "paragraph", "heading", "paragraph", "math", "page", "heading", "figure", "code", "table", "heading", "paragraph", "paragraph"]
 
 
 def test_chunks_are_slices_within_sections():
@@ -41,13 +41,73 @@ def test_toc_sections_and_checks():
     assert [r["section_path"] for r in rows] == ["", "Book/First"]
     good = {"schema_version": 1, "document_title": "T", "entries": [entry]}
     assert documents.load_toc(json.dumps(good))["document_title"] == "T"
-    for bad in ({**good, "schema_version": 2}, {**good, "entries": [entry, entry]}, {**good, "entries": [{**entry, "title": "x"}]}, {**good, "entries": [{**entry, "parent_id": "z"}]}):
+    for bad in ({**good, "schema_version": 2}, {**good, "entries": [entry, entry]}, {**good, "entries": [{**entry, "title": "x"}]}, {**good, "entries": [{**entry, "level": 2, "parent_id": "z"}]}):
         with pytest.raises(documents.SourceError):
             documents.load_toc(json.dumps(bad))
     legacy = documents.load_toc(json.dumps([{"level": 1, "title": "A"}, {"level": 2, "title": "B", "page": 3}]))["entries"]
     assert legacy[1]["title_path"] == ["A", "B"] and legacy[1]["parent_id"] == legacy[0]["id"]
 
 
+def test_blocks_of_odd_marks():
+    def cut(md):
+        return [(b.kind, md[b.start : b.end].strip()) for b in chunking.parse_blocks(md)]
+
+    assert cut("$$x$$ is a price.\n\nmore\n\n# H\n\nit is $$\n") == [("paragraph", "$$x$$ is a price."), ("paragraph", "more"), ("heading", "# H"), ("paragraph", "it is $$")]
+    assert cut("$$\nopen\n\nrest") == [("paragraph", "$$\nopen"), ("paragraph", "rest")]
+    assert cut("| a | b |\n| 1 | 2 |\ntext\n| c |") == [("table", "| a | b |\n| 1 | 2 |"), ("paragraph", "text"), ("table", "| c |")]
+    assert cut("![f](a(1).png)\n\n\nFig. 2 one\n| still caption |\n\nnext") == [("figure", "![f](a(1).png)\n\n\nFig. 2 one\n| still caption |"), ("paragraph", "next")]
+    assert cut("![f](a.png)\nfigures are nice") == [("paragraph", "![f](a.png)"), ("paragraph", "figures are nice")]
+    assert cut("~~~~\na\n~~~\nb\n~~~~~\nc") == [("code", "~~~~\na\n~~~\nb\n~~~~~"), ("paragraph", "c")] and cut("```\nopen") == [("code", "```\nopen")]
+
+
+def test_short_blocks_carry_over_and_long_ones_stand_alone():
+    def packed(sizes, size=500, overlap=50):
+        md, blocks = "x" * sum(sizes), []
+        for k in range(len(sizes)):
+            blocks.append(chunking.Block("paragraph", sum(sizes[:k]), sum(sizes[: k + 1])))
+        at = [b.start for b in blocks] + [len(md)]
+        return [sizes[at.index(a) : at.index(b)] for a, b in chunking.pack_blocks(md, blocks, size, overlap, len)]
+
+    assert packed([2, 499, 1, 500]) == [[2], [2, 499], [1], [1, 500]]
+    assert packed([2, 749]) == [[2], [2, 749]] and packed([2, 751, 3]) == [[2], [2], [751], [3]]
+    assert packed([300, 300, 20, 400]) == [[300], [300, 20], [20, 400]] and packed([2000, 10]) == [[2000], [10]] and packed([]) == []
+    assert packed([40, 1460, 1501], 1400) == [[40], [40, 1460], [1501]]
+
+
+def test_heading_keys():
+    from evidora.functions.text import normal_heading as key
+
+    assert key("**What** is it?") == "what is it?" and key("Results (2020)") == "results (2020" and key("On \\(x_1\\)") == "on \\(x_1\\)"
+    assert key("1.2  Déjà–vu_ !:") == "1.2 deja-vu" and key("Cost $a_b$") == "cost $a_b$" and key("`x`‒y.") == "x‒y" and key(None) == ""
+
+
+def test_toc_rules():
+    def toc(**more):
+        e = {"id": "a", "level": 1, "title": "Why?", "title_path": ["Why?"], "match": {"heading_text": "Why?", "normalized_key": "why?"}} | more
+        return json.dumps({"schema_version": 1, "entries": [e]})
+
+    assert len(documents.load_toc(toc())["entries"]) == 1 and len(documents.load_toc(toc(parent_id="gone"))["entries"]) == 1
+    for bad in (json.dumps({"schema_version": 1}), json.dumps("x"), toc(level=2, parent_id="gone"), toc(children=["z"]), toc(match={"heading_text": "Why?", "normalized_key": "why"})):
+        with pytest.raises(documents.SourceError):
+            documents.load_toc(bad)
+    e = json.loads(toc(page_start=1, page_end=3))["entries"][0]
+    with pytest.warns(UserWarning):
+        documents.load_toc(json.dumps({"schema_version": 1, "entries": [e, e | {"id": "b", "page_start": 3, "page_end": 4}]}))
+    legacy = documents.load_toc(json.dumps([{"level": 1, "title": "1 A"}, {"level": 2, "title": "B"}, {"level": 1, "title": "C"}]))["entries"]
+    assert [x["parent_id"] for x in legacy] == [None, "legacy-0", None] and legacy[0]["number"] == "1" and legacy[0]["children"] == ["legacy-1"]
+
+
+def test_contents_beside_documents(spark, tmp_path):
+    for folder, names in (("one", ["a.md", "toc.json"]), ("two", ["a.md", "b.MD", "toc.json", "b_toc.json", "c.txt"])):
+        (tmp_path / folder).mkdir()
+        for n in names:
+            (tmp_path / folder / n).write_text(f"{folder} {n}")
+    files = documents.scan(spark, f"file://{tmp_path}")
+    assert files.count() == 6
+    got = {(r["folder"].rstrip("/").rsplit("/", 1)[1], r["name"]): r["toc"] for r in documents.with_toc(files).collect()}
+    assert got == {("one", "a.md"): "one toc.json", ("two", "a.md"): None, ("two", "b.MD"): "two b_toc.json"}
+
+
 def test_router_and_pdf():
     assert documents.route("auto", "md") == "md" and documents.route("ocr", "pdf") == "ocr"
     for mode, kind in (("auto", "txt"), ("nope", "md")):
