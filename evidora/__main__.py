@@ -40,18 +40,32 @@ def main(args: list[str] | None = None) -> int:
     catalog.add_argument("path")
     evaluate = sub.add_parser("evaluate")
     evaluate.add_argument("gold")
+    adjudicate = sub.add_parser("adjudicate")
+    adjudicate.add_argument("--decide", required=True)
+    adjudicate.add_argument("--batch-size", type=int, default=20)
+    adjudicate.add_argument("--once", action="store_true")
+    check = sub.add_parser("check-gold")
+    check.add_argument("gold")
+    check.add_argument("--count", action="append", default=[], metavar="TYPE=N")
+    seeds = sub.add_parser("seeds")
+    seeds.add_argument("gold")
+    tune = sub.add_parser("tune")
+    tune.add_argument("gold")
+    tune.add_argument("--choice", action="append", default=[], metavar="SETTING=A,B", help="values of a setting to try")
+    sub.add_parser("vacuum")
     sub.add_parser("health")
     a = p.parse_args(args)
 
     from pyspark.sql import SparkSession
 
-    from .operators.evaluate import gold
+    from .operators.evaluate import gold, gold_problems
     from .plans.engine import Engine
-    from .plans.evaluation import report
+    from .plans.evaluation import report, seed_similarities, tuned
     from .sources.store import catalog as write_catalog
 
     spark = SparkSession.builder.appName("evidora").getOrCreate()
     e = Engine(spark, a.store, named(a.embed), named(a.extract), Settings.from_env())
+    failed = False
     if a.command == "ingest":
         out = e.ingest(a.path, a.mode)
     elif a.command == "extract":
@@ -69,11 +83,24 @@ def main(args: list[str] | None = None) -> int:
         out = {"written": a.path}
     elif a.command == "evaluate":
         out = report(e, gold(spark, a.gold))
+    elif a.command == "adjudicate":
+        out = e.adjudicate(named(a.decide), a.batch_size, a.once)
+    elif a.command == "check-gold":
+        counts = {k: int(v) for k, _, v in (c.partition("=") for c in a.count)}
+        out = {"problems": [r.asDict() for r in gold_problems(gold(spark, a.gold), e._t("text_chunk").select("id"), counts).collect()]}
+        failed = bool(out["problems"])
+    elif a.command == "seeds":
+        out = {"seeds": [r.asDict() for r in seed_similarities(e, gold(spark, a.gold)).orderBy("type", "label").collect()]}
+    elif a.command == "tune":
+        out = tuned(e, gold(spark, a.gold), **{k: [json.loads(x) for x in v.split(",")] for k, _, v in (c.partition("=") for c in a.choice)})
+    elif a.command == "vacuum":
+        out = {"deleted": e.store.vacuum()}
     else:
         out = e.health()
+        failed = not out["ok"]
     json.dump(out, sys.stdout, indent=1, default=str)
     print()
-    return 0
+    return int(failed)
 
 
 if __name__ == "__main__":

@@ -25,6 +25,7 @@ class Settings:
     # clusters
     bootstrap_min_chunks: int = 5000
     min_cluster_size: int = 0
+    reduced_dim: int = 32
     membership_top_m: int = 2
     membership_min_probability: float = 0.15
     refit_noise: float = 0.20

@@ -28,7 +28,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def l2_normalized(a: Column, floor: float = 1e-12) -> Column:
-    return F.transform(_doubles(a), lambda x: x / F.greatest(norm(a), F.lit(floor)))
+    """The length is bound once and not worked out for each component."""
+    return F.transform(F.array(F.greatest(norm(a), F.lit(floor))), lambda n: F.transform(_doubles(a), lambda x: x / n))[0]
 
 
 def finite(v: Column) -> Column:
@@ -36,13 +37,14 @@ def finite(v: Column) -> Column:
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of a list column as doubles; a row that is null or of another size is zero."""
+    """Rows of a list column as doubles; a row that is null, of another size or not finite throughout is zero."""
     out = np.zeros((len(column), dim))
     sizes = np.diff(np.asarray(column.offsets)) if len(column) else np.zeros(0, int)
     good = np.flatnonzero((sizes == dim) & np.asarray(column.is_valid()))
     if len(good):
         flat = column.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False)
-        out[good] = np.nan_to_num(flat.astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0).reshape(len(good), dim)
+        rows = flat.astype(np.float64).reshape(len(good), dim)
+        out[good] = np.where(np.isfinite(rows).all(1, keepdims=True), rows, 0.0)
     return out
 
 

@@ -47,6 +47,10 @@ def grouped_means(metrics: DataFrame, measures: tuple = ("precision_at_5", "reca
     return metrics.groupingSets([[], ["type"]], "type").agg(F.count("*").alias("n"), *[F.avg(F.col(m).cast("double")).alias(m) for m in measures])
 
 
+def type_counts(metrics: DataFrame) -> DataFrame:
+    return metrics.groupBy("type").agg(F.count("*").alias("n"))
+
+
 def paraphrase_delta(metrics: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row (n, delta_p5, delta_r10): exact questions less their paraphrases (query_id, pair_of)."""
     a = metrics.select(F.col("query_id").alias("pair_of"), F.col("precision_at_5").alias("p"), F.col("recall_at_10").alias("r"))
@@ -95,9 +99,8 @@ def gold_problems(questions: DataFrame, chunk_ids: DataFrame, counts: dict[str,
     unknown chunks and paraphrases whose chunks differ from their twins'."""
     q = questions.withColumn("n", F.size(F.coalesce("relevant_chunk_ids", F.array().cast("array<string>"))))
     found = q.groupBy("id").count().filter("count > 1").select(F.lit("repeated id").alias("problem"), "id")
-    by_type = q.groupBy("type").count()
-    want = F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(v))])
-    found = found.union(by_type.filter(~F.col("count").eqNullSafe(want[F.col("type")])).select(F.lit("count of type"), "type"))
+    for kind, n in counts.items():
+        found = found.union(q.agg(F.count_if(F.col("type") == kind).alias("n")).filter(F.col("n") != n).select(F.lit("count of type"), F.lit(kind)))
     found = found.union(q.filter("type = 'negative' and n > 0").select(F.lit("negative with chunks"), "id"))
     found = found.union(q.filter("type = 'multi' and n < 2").select(F.lit("multi with fewer than two"), "id"))
     used = q.select("id", F.explode_outer("relevant_chunk_ids").alias("chunk")).filter("chunk is not null")

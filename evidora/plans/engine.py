@@ -58,12 +58,13 @@ class Engine:
         docs = self._save(docs.join(self._t("document").select(F.col("content_hash").alias("id")), "id", "left_anti"), "docs")
         chunks = chunking.chunks(docs, s.chunk_tokens, s.chunk_overlap_tokens)
         chunks = self._save(documents.embedded(chunks, self.embed, s.embedding_dim).withColumn("created_at", now), "chunks")
-        self.store.upsert("document", docs.select("id", "path", "title", "mime", F.col("id").alias("content_hash"), now.alias("ingested_at")))
+        # a document is known only when all of it is there; after a break it is taken again, under the same ids
         self.store.upsert("text_chunk", chunks.drop("position"))
         self.store.add_edges("contains", chunks.select(F.col("doc_id").alias("document_id"), F.col("id").alias("chunk_id")))
         for edges, members in (graph.section_hyperedges(chunks, s.section_hyperedge_cap), graph.proximity_hyperedges(chunks, s.proximity_window)):
             self._hyperedges(edges, members)
         self.store.upsert("ingest_status", chunks.select(F.col("id").alias("chunk_id"), F.lit(EMBEDDED).alias("stage"), F.lit(None).cast("string").alias("error"), now.alias("updated_at")))
+        self.store.upsert("document", docs.select("id", "path", "title", "mime", F.col("id").alias("content_hash"), now.alias("ingested_at")))
         done = {"documents": docs.count(), "chunks": chunks.count()}
         if self.extract is not None:
             done |= self.extract_pending()
@@ -115,14 +116,62 @@ class Engine:
         self.store.replace("ingest_status", store.moved(status, ok, EXTRACTED, now))
         return {"extracted": ok.count(), "failed": failed.count()}
 
+    def adjudicate(self, decide: Callable[[dict], str], batch: int = 20, once: bool = False) -> dict:
+        """Put pending tasks to a model, ``batch`` at a time in the order of their ids, until none is left.
+
+        ``decide`` gives JSON {same_entity, canonical_name, reason}. The same: the provisional entity's edges go to the
+        candidate, which takes its names, and the entity goes. Else it is provisional no more. A batch is a handful of
+        rows; of two merges in a row in one batch, the first entity goes where the second does.
+        """
+        done = {"merged": 0, "rejected": 0}
+        while True:
+            tasks = [r.asDict() for r in resolution.pending_tasks(self._t("adjudication_task"), batch).collect()]
+            if not tasks:
+                return done
+            verdicts = [(t, json.loads(decide(t))) for t in tasks]
+            self._settle(verdicts)
+            same = sum(bool(v.get("same_entity")) for _, v in verdicts)
+            done["merged"] += same
+            done["rejected"] += len(tasks) - same
+            if once:
+                return done
+
+    def _settle(self, verdicts: list[tuple[dict, dict]]) -> None:
+        now, version = F.current_timestamp(), F.lit(resolution.PROMPT_VERSION)
+        same = {t["provisional_id"]: t["candidate_id"] for t, v in verdicts if v.get("same_entity")}
+
+        def last(ident: str) -> str:
+            seen = {ident}
+            while same.get(ident, ident) not in seen:
+                ident = same[ident]
+                seen.add(ident)
+            return ident
+
+        rows = [(t["id"], t["provisional_id"], last(t["candidate_id"]), bool(v.get("same_entity")), str(v.get("canonical_name") or t["provisional_name"]), str(v.get("reason") or "")) for t, v in verdicts]
+        known = self._save(self.spark.createDataFrame(rows, "id string, provisional_id string, candidate_id string, same boolean, canonical_name string, reason string"), "verdicts")
+        merges, refused = known.filter("same and provisional_id <> candidate_id"), known.filter("not same")
+        for name, column, keys in (("sourced_from", "entity_id", ["entity_id", "chunk_id"]), ("member", "node_id", ["hyperedge_id", "node_id"])):
+            self.store.replace(name, resolution.merged(self._t(name), merges.select("provisional_id", "candidate_id"), column, keys))
+        gone = merges.select(F.col("provisional_id").alias("node_id"))
+        self.store.replace("member_of", self._t("member_of").join(gone, "node_id", "left_anti"))
+        entities = resolution.merged_entities(self._t("entity"), merges.select("provisional_id", "candidate_id", "canonical_name"))
+        entities, tasks = resolution.rejected(entities, self._t("adjudication_task"), refused.select("id", "provisional_id", "reason"))
+        self.store.replace("entity", entities)
+        moved = merges.select(F.col("provisional_id").alias("candidate_id"), F.col("candidate_id").alias("_to"))  # what waits for one that is gone
+        tasks = tasks.join(moved, "candidate_id", "left").withColumn("candidate_id", F.when(F.col("status") == "PENDING", F.coalesce("_to", "candidate_id")).otherwise(F.col("candidate_id"))).drop("_to")
+        settled = merges.unionByName(known.filter("same and provisional_id = candidate_id"))
+        settled = settled.select("id", F.lit("MERGED").alias("status"), "reason", "canonical_name").unionByName(refused.select("id", F.lit("REJECTED").alias("status"), "reason", F.lit(None).cast("string").alias("canonical_name")))
+        # tasks last: a batch that broke off is put to the model again, and what it merged already stays merged
+        self.store.replace("adjudication_task", store.upserted(tasks, settled.withColumns({"prompt_version": version, "resolved_at": now}), "id"))
+
     # clusters
 
     def _manifest(self) -> dict | None:
-        raw = self.store._read_text(f"{self.path}/manifest.json")
+        raw = self.store.latest("manifest")
         if raw is None:
             return None
-        m = json.loads(raw)
-        if m.get("schema") != 1 or m.get("embedding_dim") != self.settings.embedding_dim:
+        m, s = json.loads(raw), self.settings
+        if m.get("schema") != 1 or m.get("embedding_dim") != s.embedding_dim or m.get("reduced_dim") != s.reduced_dim:
             raise ValueError("the model on disk is of another schema or dimension")
         return m
 
@@ -133,43 +182,43 @@ class Engine:
         n, old = chunks.count(), self._manifest()
         if n < s.bootstrap_min_chunks and not force:
             return {"state": "BOOTSTRAP", "chunks": n}
-        labelled, centres = cl.fit(chunks, s, k)
+        labelled, centres, projection = cl.fit(chunks, s, k)
         labelled = self._save(labelled, "labelled")
         version = old["version"] + 1 if old else 1
         hard = labelled.filter("label >= 0")
-        medoid = cl.medoids(hard.withColumnRenamed("label", "cluster_id")).join(hard.select("id", "embedding"), "id").select(F.col("cluster_id").alias("label"), F.col("embedding").alias("medoid_embedding"))
+        member = hard.withColumnRenamed("label", "cluster_id")
+        medoid = cl.medoids(member).join(hard.select("id", "embedding"), "id").join(cl.persistence(member), "cluster_id")
+        medoid = self._save(medoid.select(F.col("cluster_id").alias("label"), F.col("embedding").alias("medoid_embedding"), "persistence"), "medoids")
         sizes = hard.groupBy("label").agg(F.count("*").cast("int").alias("size"))
         ids, gone = self._remap(hard, medoid, sorted(centres), version)
         named = F.create_map(*[x for k_, v in ids.items() for x in (F.lit(k_), F.lit(v))]) if ids else F.create_map(F.lit(-9), F.lit(""))
-        rows = sizes.join(medoid, "label").select(named[F.col("label")].alias("id"), F.col("label").cast("int").alias("label"), "size", F.lit(None).cast("double").alias("persistence"), now.alias("fitted_at"), F.lit(version).alias("version"), F.lit(False).alias("deprecated"), F.lit(None).cast("timestamp").alias("deprecated_at"), "medoid_embedding")
+        rows = sizes.join(medoid, "label").select(named[F.col("label")].alias("id"), F.col("label").cast("int").alias("label"), "size", "persistence", now.alias("fitted_at"), F.lit(version).alias("version"), F.lit(False).alias("deprecated"), F.lit(None).cast("timestamp").alias("deprecated_at"), "medoid_embedding")
         self.store.upsert("cluster", self._save(rows, "clusters"))
         self.store.replace("member_of", self._t("member_of").filter(F.lit(False)) if old is None else store.without_version(self._t("member_of"), old["version"]))
-        manifest = {"schema": 1, "embedding_dim": s.embedding_dim, "version": version, "chunks": n, "centres": {str(k_): v for k_, v in centres.items()}, "ids": {str(k_): v for k_, v in ids.items()}}
+        manifest = {"schema": 1, "embedding_dim": s.embedding_dim, "reduced_dim": s.reduced_dim, "projection": projection, "version": version, "chunks": n, "centres": {str(k_): v for k_, v in centres.items()}, "ids": {str(k_): v for k_, v in ids.items()}}
         for name in ("text_chunk", "entity"):
             self._members(store.vector_rows(self._t(name), s.embedding_dim, False), manifest)
         self.store.replace("ingest_status", store.moved(self._t("ingest_status"), chunks, CLUSTERED, now))
-        if gone:
-            self.store.replace("cluster", store.deprecated(self._t("cluster"), gone, now))
-        self.store.write_text(f"{self.path}/manifest.json", json.dumps(manifest))
+        self.store.replace("cluster", store.deprecated(self._t("cluster"), gone, now))
+        self.store.commit("manifest", json.dumps(manifest))
         return {"state": "REFITTED" if old else "FITTED", "clusters": len(ids), "chunks": n}
 
-    def _remap(self, hard: DataFrame, medoid: DataFrame, labels: list[int], version: int) -> tuple[dict, list[str]]:
-        live = self._t("cluster").filter("not deprecated")
-        old = [r["id"] for r in live.select("id").limit(cl.CENTRES).collect()]
-        if not old:
-            return {k: f"cluster-{version}-{k}" for k in labels}, []
-        before = self._t("member_of").select(F.col("cluster_id").alias("old_id"), F.col("node_id").alias("node"))
-        pairs = {(r["old_id"], r["label"]): r["jaccard"] for r in cl.jaccard(before, hard.select("label", F.col("id").alias("node"))).collect()}
-        a = {r["id"]: r["medoid_embedding"] for r in live.select("id", "medoid_embedding").collect()}
-        b = {r["label"]: r["medoid_embedding"] for r in medoid.collect()}
-        unit = resolution._unit
-        every = [(o, k, pairs.get((o, k), 0.0), float(unit(a[o]) @ unit(b[k]))) for o in a for k in b]
-        taken, new, gone = cl.remap(every, old, labels, self.settings.remap_jaccard, self.settings.remap_cosine)
-        return taken | {k: f"cluster-{version}-{k}" for k in new}, gone
+    def _remap(self, hard: DataFrame, medoid: DataFrame, labels: list[int], version: int) -> tuple[dict, DataFrame]:
+        """Ids of the new labels, and the old clusters (id) that none of them takes over, however many there are."""
+        s = self.settings
+        live = self._save(self._t("cluster").filter("not deprecated").select("id", "medoid_embedding"), "live")
+        before = self._t("member_of").select(F.col("cluster_id").alias("old_id"), F.col("node_id").alias("node")).join(live.select(F.col("id").alias("old_id")), "old_id", "left_semi")
+        shared = cl.jaccard(before, hard.select("label", F.col("id").alias("node")))
+        near = search.near_vectors(live.withColumnRenamed("medoid_embedding", "embedding"), medoid.select(F.col("label").alias("query_id"), F.col("medoid_embedding").alias("embedding")), 1 << 30, s.remap_cosine)
+        near = near.select(F.col("id").alias("old_id"), F.col("query_id").cast("int").alias("label"), F.col("similarity").alias("cosine"))
+        pairs = [tuple(r) for r in cl.remap_pairs(shared, near, s.remap_jaccard, s.remap_cosine).collect()]
+        taken, new, _ = cl.remap(pairs, [], labels, s.remap_jaccard, s.remap_cosine)
+        kept = self.spark.createDataFrame([(v,) for v in taken.values()], "id string")
+        return taken | {k: f"cluster-{version}-{k}" for k in new}, self._save(live.select("id").join(kept, "id", "left_anti"), "gone")
 
     def _members(self, rows: DataFrame, manifest: dict) -> DataFrame:
         s = self.settings
-        soft = cl.soft_memberships(rows, {int(k): v for k, v in manifest["centres"].items()})
+        soft = cl.soft_memberships(rows, {int(k): v for k, v in manifest["centres"].items()}, manifest["projection"], least=s.membership_min_probability)
         best = cl.top_memberships(soft, s.membership_top_m, s.membership_min_probability)
         named = F.create_map(*[x for k, v in manifest["ids"].items() for x in (F.lit(int(k)), F.lit(v))]) if manifest["ids"] else F.create_map(F.lit(-9), F.lit(""))
         return self.store.add_edges("member_of", best.select("node_id", named[F.col("label")].alias("cluster_id"), "probability", F.col("rank").cast("int").alias("rank"), F.lit(manifest["version"]).alias("model_version")))
@@ -211,8 +260,7 @@ class Engine:
             return counts
         if not yes:
             raise ValueError("pass yes=True to remove clusters")
-        fs, p = self.store._file(f"{self.path}/manifest.json")
-        fs.delete(p, False)
+        self.store.commit("manifest", "")
         for name in ("member_of", "cluster"):
             self.store.replace(name, self._t(name).filter(F.lit(False)))
         self.store.replace("ingest_status", store.restored(self._t("ingest_status"), self._t("sourced_from")))
@@ -238,7 +286,7 @@ class Engine:
         chunks, entities = self._t("text_chunk"), self._t("entity")
         m, memberships = self._manifest(), None
         if m is not None and m["ids"]:
-            soft = cl.soft_memberships(vectors.select(F.col("query_id").alias("id"), "embedding"), {int(k): v for k, v in m["centres"].items()})
+            soft = cl.soft_memberships(vectors.select(F.col("query_id").alias("id"), "embedding"), {int(k): v for k, v in m["centres"].items()}, m["projection"])
             named = F.create_map(*[x for k, v in m["ids"].items() for x in (F.lit(int(k)), F.lit(v))])
             memberships = search.query_memberships(soft.select(F.col("node_id").alias("query_id"), named[F.col("label")].alias("id"), F.col("probability").alias("p")), self._t("cluster"))
         else:
@@ -249,10 +297,10 @@ class Engine:
         params = self._save(g.select("query_id", "globality", regime.alias("regime"), depth.alias("depth"), beam.alias("beam")), "params")
         k = max(s.beam_max, s.bm25_candidates)
         words = vectors.select("query_id", F.col("question").alias("text"))
-        dense = search.vector_topk(chunks, vectors, 4 * k)
-        hits = self._save(search.hybrid_hits(dense, search.bm25_topk(chunks.select("id", "text"), words, k), k, s.hybrid_rrf_k, chunks, vectors), "hits")
-        edense = search.vector_topk(entities, vectors, 4 * k)
-        ehits = search.hybrid_hits(edense, search.bm25_topk(entities.select("id", F.col("canonical_name").alias("text")), words, k), k, s.hybrid_rrf_k, entities, vectors)
+        hits = self._save(search.hybrid_hits(search.vector_topk(chunks, vectors, k), search.bm25_topk(chunks.select("id", "text"), words, k), k, chunks, vectors, s.hybrid_rrf_k), "hits")
+        k = max(1, s.beam_max // 2, s.bm25_candidates // 2)
+        names = entities.select("id", F.col("canonical_name").alias("text"))
+        ehits = search.hybrid_hits(search.vector_topk(entities, vectors, k), search.bm25_topk(names, words, k), k, entities, vectors, s.hybrid_rrf_k)
         hybrid = search.hybrid_seeds(hits, ehits, s.beam_max).join(params.select("query_id", "beam"), "query_id")
         room = F.when(F.col("label") == "TextChunk", F.col("beam")).otherwise(F.greatest(F.lit(1), F.floor(F.col("beam") / 2)))
         hybrid = hybrid.filter(F.col("rank") <= room).drop("beam")

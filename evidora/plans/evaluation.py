@@ -38,7 +38,7 @@ def report(engine, gold: DataFrame) -> dict:
     means = {r["type"] or "all": {m: r[m] for m in ("n", *MEASURES)} for r in ev.grouped_means(rows, MEASURES).collect()}
     pairs = gold.select(F.col("id").alias("query_id"), "pair_of")
     delta, noise = ev.paraphrase_delta(rows, pairs).first(), ev.noise_at_10(rows).first()[0]
-    return {"means": means, "paraphrase_delta": delta.asDict(), "noise_at_10": noise, "types": {r["type"]: r["count"] for r in rows.groupBy("type").count().collect()}}
+    return {"means": means, "paraphrase_delta": delta.asDict(), "noise_at_10": noise, "types": {r["type"]: r["n"] for r in ev.type_counts(rows).collect()}}
 
 
 def seed_similarities(engine, gold: DataFrame, chunks: int = 8, entities: int = 4) -> DataFrame:

@@ -1,7 +1,7 @@
 """The driver's tables as the engine's tables.
 
 Documents stand for chunks (``source`` is the document and section, ``doc_id`` the order), vectors for chunks' vectors,
-``label`` for clusters, longer words that few documents share for entities. Every hundredth row is also a question.
+``label`` for clusters, words for entities. Every hundredth row is also a question, with its whole text.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import search
+from ..sources.work import saved
 
 EVERY, K = 100, 20
 
@@ -48,20 +49,17 @@ def chunks(spark, d) -> DataFrame:
 
 def word_questions(spark, d) -> DataFrame:
     rows = table(spark, d, "documents").filter(F.col("doc_id") % EVERY == 0)
-    return rows.select(F.col("doc_id").cast("string").alias("query_id"), F.substring("text", 1, 200).alias("text"))
+    return rows.select(F.col("doc_id").cast("string").alias("query_id"), "text")
 
 
 def mentions(spark, d) -> DataFrame:
-    """(chunk_id, entity_id, position): words of ten letters or more that 2 to 50 documents have."""
-    words = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.posexplode(tokens(F.col("text"))).alias("position", "entity_id"))
-    words = words.filter(F.length("entity_id") >= 10)
-    df = words.groupBy("entity_id").agg(F.countDistinct("chunk_id").alias("df")).filter("df between 2 and 50")
-    return words.join(df.select("entity_id"), "entity_id")
+    """(chunk_id, entity_id, position) of all words."""
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.posexplode(tokens(F.col("text"))).alias("position", "entity_id"))
 
 
 def sourced_from(spark, d) -> DataFrame:
     """(entity_id, chunk_id, confidence): how often a document has the word, over the most that any has it."""
-    tf = mentions(spark, d).groupBy("entity_id", "chunk_id").agg(F.count("*").alias("tf"))
+    tf = saved(mentions(spark, d).groupBy("entity_id", "chunk_id").agg(F.count("*").alias("tf")), "mentions")
     top = tf.groupBy("entity_id").agg(F.max("tf").alias("most"))
     return tf.join(top, "entity_id").select("entity_id", "chunk_id", (F.col("tf") / F.col("most")).alias("confidence"))
 

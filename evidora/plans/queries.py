@@ -49,21 +49,33 @@ members AS (SELECT query_id, cluster::VARCHAR AS id, count(*) / 20.0::DOUBLE AS
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, id) AS rank FROM members)"""
 WORDS = r"""
 words0 AS (SELECT doc_id::VARCHAR AS chunk_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1) - 1 AS position FROM documents),
-words1 AS (SELECT * FROM words0 WHERE length(w) >= 10),
-df AS (SELECT w, count(DISTINCT chunk_id) AS df FROM words1 GROUP BY w HAVING count(DISTINCT chunk_id) BETWEEN 2 AND 50),
-mentions AS (SELECT chunk_id, w AS entity_id, position FROM words1 SEMI JOIN df USING (w)),
+mentions AS (SELECT chunk_id, w AS entity_id, position FROM words0),
 tf AS (SELECT entity_id, chunk_id, count(*) AS tf FROM mentions GROUP BY ALL),
 sourced AS (SELECT entity_id, chunk_id, tf / max(tf) OVER (PARTITION BY entity_id)::DOUBLE AS confidence FROM tf)"""
-BM25 = r"""
-dq AS (SELECT doc_id::VARCHAR AS query_id, unnest(list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[\p{L}\p{N}_]+'))) AS term FROM documents WHERE doc_id % 100 = 0),
-dw AS (SELECT doc_id::VARCHAR AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents),
-st AS (SELECT count(*)::DOUBLE AS n, avg(len(ws)) AS mean FROM dw),
-po AS (SELECT id, len(ws) AS length, unnest(ws) AS term FROM dw),
-tf AS (SELECT term, id, length, count(*) AS tf FROM po SEMI JOIN dq USING (term) GROUP BY ALL),
-dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-bm AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 9) AS score
-  FROM tf JOIN dfs USING (term) JOIN dq USING (term), st GROUP BY ALL),
-keyword AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm) WHERE rank <= 20)"""
+def bm25_sql(p: str = "", where: str = "TRUE", k: int = 20) -> str:
+    """Okapi BM25 over the documents that fit ``where``, as a list ``keyword`` with the prefix."""
+    return rf"""
+{p}dq AS (SELECT doc_id::VARCHAR AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'))) AS term FROM documents WHERE doc_id % 100 = 0),
+{p}dw AS (SELECT doc_id::VARCHAR AS id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS ws FROM documents WHERE {where}),
+{p}st AS (SELECT count(*)::DOUBLE AS n, avg(len(ws)) AS mean FROM {p}dw),
+{p}po AS (SELECT id, len(ws) AS length, unnest(ws) AS term FROM {p}dw),
+{p}tf AS (SELECT term, id, length, count(*) AS tf FROM {p}po SEMI JOIN {p}dq USING (term) GROUP BY ALL),
+{p}dfs AS (SELECT term, count(*) AS df FROM {p}tf GROUP BY term),
+{p}bm AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 9) AS score
+  FROM {p}tf JOIN {p}dfs USING (term) JOIN {p}dq USING (term), {p}st GROUP BY ALL),
+{p}keyword AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {p}bm) WHERE rank <= {k})"""
+
+
+def fused_sql(p: str, hits: str, keyword: str, k: int) -> str:
+    """The ``k`` best of both lists, ``fused`` with the prefix, with cosines worked out for all that have vectors."""
+    return f"""
+{p}lists AS (SELECT query_id, id, rank FROM {hits} WHERE rank <= {k} UNION ALL SELECT query_id, id, rank FROM {keyword} WHERE rank <= {k}),
+{p}rrf AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM {p}lists GROUP BY ALL),
+{p}places AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {p}rrf),
+{p}fused AS (SELECT query_id, id, rank, list_cosine_similarity(q.e, v.e) AS similarity FROM {p}places JOIN q USING (query_id) JOIN v USING (id) WHERE rank <= {k})"""
+
+
+BM25 = bm25_sql()
 DOCS = "docs AS (SELECT doc_id::VARCHAR AS id, source AS doc, source AS section, doc_id AS position FROM documents)"
 
 
@@ -89,24 +101,31 @@ def rrf_fusion(spark, d) -> DataFrame:
     return scores.rrf(lists).select("query_id", "id", r6("score"))
 
 
-@query(f"""WITH {BM25}, {HITS},
-lists AS (SELECT query_id, id, rank FROM hits UNION ALL SELECT query_id, id, rank FROM keyword),
-fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM lists GROUP BY ALL),
-known AS (SELECT f.*, h.similarity FROM fused f JOIN hits h USING (query_id, id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM known)
-SELECT query_id, id, round(similarity, 6) AS similarity, rank::INT AS rank FROM r WHERE rank <= 20""")
+@query(f"WITH {BM25}, {HITS}, {fused_sql('', 'hits', 'keyword', 20)} SELECT query_id, id, round(similarity, 6) AS similarity, rank::INT AS rank FROM fused")
 def hybrid_hits(spark, d) -> DataFrame:
+    """Dense and keyword hits fused; what only the keyword list has gets its cosine from its vector."""
     keyword = search.bm25_topk(fx.chunks(spark, d), fx.word_questions(spark, d), fx.K)
-    return search.hybrid_hits(fx.hits(spark, d), keyword, fx.K).select("query_id", "id", r6("similarity"), "rank")
+    return search.hybrid_hits(fx.hits(spark, d), keyword, fx.K, fx.vectors(spark, d), fx.questions(spark, d)).select("query_id", "id", r6("similarity"), "rank")
+
+
+def dense_sql(p: str, where: str, k: int) -> str:
+    return f"""
+{p}hits AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(q.e, v.e) DESC, id) AS rank FROM q, v WHERE {where}) WHERE rank <= {k})"""
 
 
-@query(f"""WITH {SEEDS}
-SELECT query_id, label, id, round(similarity, 6) AS similarity, rank::INT AS rank FROM seeds
-WHERE (label = 'TextChunk' AND rank <= 8) OR (label = 'Entity' AND rank <= 4)""")
+@query(f"""WITH {HITS}, {dense_sql('c', 'id::BIGINT % 2 = 0', 20)}, {bm25_sql('c', 'doc_id % 2 = 0', 20)}, {fused_sql('c', 'chits', 'ckeyword', 20)},
+{dense_sql('e', 'id::BIGINT % 2 = 1', 10)}, {bm25_sql('e', 'doc_id % 2 = 1', 10)}, {fused_sql('e', 'ehits', 'ekeyword', 10)}
+SELECT query_id, 'TextChunk' AS label, id, round(similarity, 6) AS similarity, rank::INT AS rank FROM cfused WHERE rank <= 8
+UNION ALL SELECT query_id, 'Entity', id, round(similarity, 6), rank::INT FROM efused WHERE rank <= 4""")
 def hybrid_seeds(spark, d) -> DataFrame:
-    rows = fx.seeds(spark, d)
-    out = search.hybrid_seeds(rows.filter("label = 'TextChunk'").drop("label"), rows.filter("label = 'Entity'").drop("label"), 8)
-    return out.select("query_id", "label", "id", r6("similarity"), "rank")
+    """Fused seeds: even rows stand for chunks, odd ones for entities."""
+    found = []
+    for odd, k in ((0, fx.K), (1, fx.K // 2)):
+        vectors = fx.vectors(spark, d).filter(F.col("id").cast("long") % 2 == odd)
+        texts = fx.chunks(spark, d).filter(F.col("position") % 2 == odd)
+        keyword = search.bm25_topk(texts, fx.word_questions(spark, d), k)
+        found.append(search.hybrid_hits(search.vector_topk(vectors, fx.questions(spark, d), k), keyword, k, vectors, fx.questions(spark, d)))
+    return search.hybrid_seeds(*found, 8).select("query_id", "label", "id", r6("similarity"), "rank")
 
 
 @query(f"""WITH {SEEDS}, twice AS (SELECT * FROM seeds UNION ALL SELECT query_id, id, similarity, rank + 20, label FROM seeds)
@@ -402,13 +421,50 @@ def rwr_step(spark, d) -> DataFrame:
     return m.select("query_id", "id", r6("m"))
 
 
-@query()
+def _walk_sql(steps: int = 20) -> str:
+    """Steps of the walk, one after another; each question stops at its first step that changes less than 1e-4."""
+    out = ["w0 AS (SELECT query_id, id, r AS m FROM rest)"]
+    for k in range(1, steps + 1):
+        out.append(f"""w{k} AS MATERIALIZED (SELECT rest.query_id, rest.id, 0.85 * coalesce(f, 0) + 0.15 * r AS m FROM rest LEFT JOIN (
+  SELECT a.query_id, target AS id, sum(m * p) AS f FROM w{k - 1} a JOIN moves b ON a.query_id = b.query_id AND a.id = b.source GROUP BY ALL) USING (query_id, id)),
+d{k} AS (SELECT query_id, sum(abs(a.m - b.m)) AS d FROM w{k} a JOIN w{k - 1} b USING (query_id, id) GROUP BY query_id)""")
+    every = " UNION ALL ".join(f"SELECT {k} AS k, query_id, d FROM d{k}" for k in range(1, steps + 1))
+    masses = " UNION ALL ".join(f"SELECT {k} AS k, query_id, id, m FROM w{k}" for k in range(1, steps + 1))
+    return ",\n".join(out) + f""",
+stops AS (SELECT query_id, coalesce(min(k) FILTER (d < 1e-4), {steps}) AS k FROM ({every}) GROUP BY query_id),
+walked AS (SELECT query_id, id, m / sum(m) OVER (PARTITION BY query_id) AS mass FROM ({masses}) JOIN stops USING (query_id, k))"""
+
+
+@query(f"WITH {ARCS}, {_walk_sql()} SELECT query_id, id, round(mass, 6) AS mass FROM walked")
 def rwr(spark, d) -> DataFrame:
     arcs, nodes, seeds = _arcs(spark, d)
     return graph.rwr(graph.transitions(nodes, arcs), graph.restart_vector(nodes, seeds)).select("query_id", "id", r6("mass"))
 
 
-@query()
+def _expansion_sql(rounds: int = 2, beam: int = 6) -> str:
+    """Rounds of an expansion, one after another, over words, clusters and windows of three documents."""
+    out = [f"""{PROX}, mo AS (SELECT vec_id::VARCHAR AS node_id, 'k' || label AS cluster_id, 1.0::DOUBLE / (1 + vec_id % 3) AS probability FROM embeddings),
+live0 AS (SELECT doc_id::VARCHAR AS query_id, doc_id::VARCHAR AS id, 'TextChunk' AS label FROM documents WHERE doc_id % 100 = 0), known0 AS (SELECT * FROM live0)"""]
+    for k in range(1, rounds + 1):
+        live, known = f"live{k - 1}", f"known{k - 1}"
+        out.append(f"""down{k} AS (SELECT query_id, node_id AS target, 'TextChunk' AS label, probability AS affinity FROM (
+  SELECT l.query_id, node_id, probability, row_number() OVER (PARTITION BY l.query_id ORDER BY probability DESC, node_id, l.id) AS r, n FROM {live} l JOIN mo ON l.id = cluster_id
+  JOIN (SELECT query_id, count(*) AS n FROM {live} WHERE label = 'Cluster' GROUP BY query_id) USING (query_id) WHERE label = 'Cluster') WHERE r <= {beam} * n),
+flat{k} AS (SELECT query_id, target, label, affinity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY affinity DESC, target, source) AS r FROM (
+    SELECT DISTINCT l.query_id, l.id AS source, l.label, b.id AS target, 1.0::DOUBLE / 3 AS affinity FROM {live} l JOIN pm a ON a.id = l.id JOIN pm b ON a.hid = b.hid AND b.id <> a.id WHERE l.label <> 'Cluster'))
+  JOIN (SELECT query_id, count(*) AS n FROM {live} WHERE label <> 'Cluster' GROUP BY query_id) USING (query_id) WHERE r <= {beam} * n),
+hops{k} AS (SELECT query_id, chunk_id AS target, 'TextChunk' AS label, confidence AS affinity FROM {live} l JOIN sourced ON l.id = entity_id WHERE label = 'Entity'
+  UNION ALL SELECT query_id, entity_id, 'Entity', confidence FROM {live} l JOIN sourced ON l.id = chunk_id WHERE label = 'TextChunk'
+  UNION ALL SELECT query_id, cluster_id, 'Cluster', probability FROM {live} l JOIN mo ON l.id = node_id WHERE label <> 'Cluster'
+  UNION ALL SELECT * FROM down{k} UNION ALL SELECT * FROM flat{k}),
+new{k} AS (SELECT query_id, target AS id, label, max(affinity) AS affinity FROM hops{k} h WHERE NOT EXISTS (SELECT 1 FROM {known} n WHERE n.query_id = h.query_id AND n.id = h.target) GROUP BY ALL),
+live{k} AS MATERIALIZED (SELECT query_id, id, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY affinity DESC, id) AS r FROM new{k}) WHERE r <= {beam}),
+known{k} AS MATERIALIZED (SELECT * FROM {known} UNION ALL SELECT * FROM live{k})""")
+    return ",\n".join(out)
+
+
+@query(f"WITH {WORDS}, {_expansion_sql()} SELECT query_id, id, label FROM known2")
 def bounded_expansion(spark, d) -> DataFrame:
     """Every question's subgraph of chunks, words and clusters, two rounds deep."""
     _, members = graph.proximity_hyperedges(fx.chunks(spark, d), 3)
@@ -466,26 +522,44 @@ def refit_decision(spark, d) -> DataFrame:
     return clusters.refit_decision(_status(spark, d), _member_of(spark, d), 650).select("current", r6("noise_ratio"), "decision")
 
 
-@query("SELECT label, CASE WHEN count(*) <= 0 THEN 15 ELSE greatest(15, floor(floor(sqrt(count(*) * 40)) / 2))::INT END AS min_size FROM embeddings GROUP BY label")
+@query("SELECT label, greatest(15, floor(floor(sqrt(count(*) * 40)) / 2))::INT AS min_size FROM embeddings GROUP BY label")
 def min_cluster_size(spark, d) -> DataFrame:
-    n = fx.table(spark, d, "embeddings").groupBy("label").agg((F.count("*") * 40).alias("n"))
-    return n.select("label", F.greatest(F.lit(15), F.floor(F.floor(F.sqrt("n")) / 2)).cast("int").alias("min_size"))
+    """The least cluster size for forty times as many rows as each label has."""
+    return fx.table(spark, d, "embeddings").groupBy("label").agg(clusters.min_cluster_size(F.count("*") * 40).alias("min_size"))
 
 
 @query()
 def l3_fit(spark, d) -> DataFrame:
     """Hard labels of all vectors (k-means in place of the density-based fit)."""
-    labelled, _ = clusters.fit(fx.vectors(spark, d), Settings(), 10)
+    labelled, _, _ = clusters.fit(fx.vectors(spark, d), Settings(), 10)
     return labelled.select("id", "label")
 
 
-@query()
+JACCARD = """a AS (SELECT label AS old_id, vec_id FROM embeddings), b AS (SELECT (vec_id % 7)::INT AS label, vec_id FROM embeddings),
+s AS (SELECT old_id, b.label, count(*) AS n FROM a JOIN b USING (vec_id) GROUP BY ALL),
+j AS (SELECT old_id::VARCHAR AS old_id, label, round(n / (ca + cb - n)::DOUBLE, 6) AS jaccard FROM s
+  JOIN (SELECT old_id, count(*) AS ca FROM a GROUP BY ALL) USING (old_id) JOIN (SELECT label, count(*) AS cb FROM b GROUP BY ALL) USING (label))"""
+
+
+@query(f"""WITH RECURSIVE {JACCARD},
+good AS (SELECT *, row_number() OVER (ORDER BY jaccard DESC, old_id, label) AS k FROM j WHERE jaccard >= 0.05),
+g AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS olds, []::INT[] AS labels
+  UNION ALL SELECT good.k, CASE WHEN free THEN list_append(olds, old_id) ELSE olds END, CASE WHEN free THEN list_append(labels, label) ELSE labels END
+  FROM (SELECT g.*, good.k AS next, NOT list_contains(olds, old_id) AND NOT list_contains(labels, label) AS free FROM g JOIN good ON good.k = g.k + 1) x JOIN good ON good.k = x.next),
+pairs AS (SELECT unnest(labels) AS label, unnest(olds) AS id FROM g WHERE k = (SELECT max(k) FROM g))
+SELECT label, id, 'kept' AS state FROM pairs
+UNION ALL SELECT DISTINCT label, NULL, 'new' FROM j WHERE label NOT IN (SELECT label FROM pairs)
+UNION ALL SELECT DISTINCT -1, old_id, 'deprecated' FROM j WHERE old_id NOT IN (SELECT id FROM pairs)""")
 def greedy_remap(spark, d) -> DataFrame:
-    pairs = [(r["old_id"], r["label"], r["jaccard"], 0.0) for r in jaccard_candidates(spark, d).collect()]
-    old, labels = sorted({p[0] for p in pairs}), sorted({p[1] for p in pairs})
-    taken, new, gone = clusters.remap(pairs, old, labels, 0.05)
-    rows = [(k, v, "kept") for k, v in taken.items()] + [(k, None, "new") for k in new] + [(-1, v, "deprecated") for v in gone]
-    return spark.createDataFrame(rows, "label int, id string, state string")
+    """Which label takes over which old cluster; only pairs that may match are fetched."""
+    every = jaccard_candidates(spark, d)
+    none = spark.createDataFrame([], "old_id string, label int, cosine double")
+    pairs = [tuple(r) for r in clusters.remap_pairs(every, none, 0.05).collect()]
+    taken, _, _ = clusters.remap(pairs, [], [], 0.05)
+    kept = spark.createDataFrame([(k, v, "kept") for k, v in taken.items()], "label int, id string, state string")
+    new = every.select("label").distinct().join(kept, "label", "left_anti").select("label", F.lit(None).cast("string").alias("id"), F.lit("new").alias("state"))
+    gone = every.select(F.col("old_id").alias("id")).distinct().join(kept, "id", "left_anti").select(F.lit(-1).alias("label"), "id", F.lit("deprecated").alias("state"))
+    return kept.unionByName(new).unionByName(gone)
 
 
 # --- tables -----------------------------------------------------------------------------------------------------
@@ -523,17 +597,38 @@ def undo_status(spark, d) -> DataFrame:
     return store.restored(_status(spark, d), known).select("chunk_id", "stage")
 
 
-@query("SELECT doc_id::VARCHAR AS id, source AS doc_id, source || '/' || lang AS section_path, substr(text, 1, 240) AS head FROM documents")
+@query(r"""SELECT doc_id::VARCHAR AS id, source AS doc_id, source || '/' || lang AS section_path, NULL::INT AS page_start, NULL::INT AS page_end,
+len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))::INT AS token_count, substr(text, 1, 240) AS head FROM documents""")
 def chunk_catalog(spark, d) -> DataFrame:
-    return fx.chunks(spark, d).select("id", "doc_id", "section_path", F.substring("text", 1, 240).alias("head"))
+    none = F.lit(None).cast("int")
+    return store.catalog_rows(fx.chunks(spark, d).withColumns({"page_start": none, "page_end": none, "token_count": token_count(F.col("text"))}))
 
 
 @query(f"WITH {WORDS} SELECT entity_id, chunk_id FROM sourced WHERE chunk_id::BIGINT % 3 <> 0")
 def edge_merge(spark, d) -> DataFrame:
-    """The edges that a merge creates, where those of every third document exist already."""
+    """The edges that a merge creates, each met twice, where those of every third document exist already."""
     edges = fx.sourced_from(spark, d).select("entity_id", "chunk_id")
     old = edges.filter(F.col("chunk_id").cast("long") % 3 == 0)
-    return edges.join(old, ["entity_id", "chunk_id"], "left_anti")
+    return store.new_edges(old, edges.union(edges), ["entity_id", "chunk_id"])
+
+
+@query("SELECT vec_id::VARCHAR AS id, label, len(embedding)::INT AS dim FROM embeddings")
+def payload_split(spark, d) -> DataFrame:
+    rows = store.split_payload(fx.vectors(spark, d), "id", "embedding")
+    return rows.select("id", "props.label", F.size("embedding").alias("dim"))
+
+
+@query("SELECT vec_id::VARCHAR AS id, (label % 3 = 0)::BOOL AS deprecated FROM embeddings")
+def deprecate_clusters(spark, d) -> DataFrame:
+    """Vectors standing for clusters, those of every third label given up."""
+    rows = fx.vectors(spark, d).select("id", "label", F.lit(False).alias("deprecated"), F.lit(None).cast("timestamp").alias("deprecated_at"))
+    return store.deprecated(rows, rows.filter("label % 3 = 0").select("id"), F.current_timestamp()).select("id", "deprecated")
+
+
+@query(f"""WITH {STATUS} SELECT chunk_id, CASE WHEN chunk_id::BIGINT % 4 = 0 THEN 'EXTRACTED' ELSE stage END AS stage FROM status""")
+def stage_moves(spark, d) -> DataFrame:
+    status = _status(spark, d)
+    return store.moved(status, status.filter("cast(chunk_id as long) % 4 = 0").select(F.col("chunk_id").alias("id")), "EXTRACTED", F.current_timestamp()).select("chunk_id", "stage")
 
 
 @query("SELECT vec_id::VARCHAR AS node_id, label::VARCHAR AS cluster_id FROM embeddings WHERE vec_id % 4 <> 1")
@@ -559,7 +654,7 @@ def adjudication_merge(spark, d) -> DataFrame:
 def adjudication_queue(spark, d) -> DataFrame:
     status = F.when(F.col("doc_id") % 2 == 0, "PENDING").otherwise("MERGED")
     tasks = fx.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), status.alias("status"))
-    return resolution.pending(tasks, 1 << 30)
+    return resolution.pending_tasks(tasks)
 
 
 @query("SELECT vec_id::VARCHAR AS id, len(embedding)::INT AS dim FROM embeddings WHERE embedding IS NOT NULL")
@@ -567,11 +662,11 @@ def vector_scan(spark, d) -> DataFrame:
     return store.vector_rows(fx.vectors(spark, d), 64, True).select("id", F.size("embedding").alias("dim"))
 
 
-@query("SELECT doc_id::VARCHAR AS id, lang, source FROM documents WHERE source IN ('src1', 'src2')")
+@query("""SELECT doc_id::VARCHAR AS id, lang, source FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)""")
 def cache_hits(spark, d) -> DataFrame:
-    """Chunks whose content hash (here the source) is in the extraction cache."""
-    rows = fx.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang", "source", F.sha2("source", 256).alias("content_hash"))
-    cache = spark.createDataFrame([("src1", "{}"), ("src2", "{}")], "s string, payload string").select(F.sha2("s", 256).alias("content_hash"), "payload")
+    """Chunks whose content is in the extraction cache, which holds that of every third one."""
+    rows = fx.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang", "source", F.sha2("text", 256).alias("content_hash"))
+    cache = rows.filter("cast(id as long) % 3 = 0").select("content_hash").distinct().withColumn("payload", F.lit("{}"))
     return resolution.cached_payloads(rows, cache)[0].select("id", "lang", "source")
 
 
@@ -580,9 +675,9 @@ def cache_hits(spark, d) -> DataFrame:
 CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s-]', ' ', 'g'), '(^|\s)-+|-+(\s|$)', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, {CLEAN.format('substr(text, 1, 120)')} AS clean, sha256({CLEAN.format('substr(text, 1, 120)')} || '|CONCEPT') AS name_hash FROM documents")
+@query(f"SELECT doc_id, {CLEAN.format('text')} AS clean, sha256({CLEAN.format('text')} || '|CONCEPT') AS name_hash FROM documents")
 def clean_strings(spark, d) -> DataFrame:
-    name = F.substring("text", 1, 120)
+    name = F.col("text")
     docs = fx.table(spark, d, "documents")
     return docs.select("doc_id", clean_string(name, False).alias("clean"), name_hash(name, F.lit("CONCEPT"), False).alias("name_hash"))
 
@@ -626,10 +721,10 @@ def payload_triples(spark, d) -> DataFrame:
     return resolution.valid_triples(payloads, resolution.valid_entities(payloads, normal_form=False))
 
 
-@query(f"""WITH n AS (SELECT doc_id, sha256({CLEAN.format('substr(text, 1, 40)')} || '|CONCEPT') AS h FROM documents), k AS (SELECT h, min(doc_id) AS id FROM n GROUP BY h)
+@query(f"""WITH n AS (SELECT doc_id, sha256({CLEAN.format('text')} || '|CONCEPT') AS h FROM documents), k AS (SELECT h, min(doc_id) AS id FROM n GROUP BY h)
 SELECT doc_id, id::VARCHAR AS entity_id FROM n JOIN k USING (h)""")
 def er_exact(spark, d) -> DataFrame:
-    rows = fx.table(spark, d, "documents").select("doc_id", name_hash(F.substring("text", 1, 40), F.lit("CONCEPT"), False).alias("name_hash"))
+    rows = fx.table(spark, d, "documents").select("doc_id", name_hash(F.col("text"), F.lit("CONCEPT"), False).alias("name_hash"))
     known = rows.groupBy("name_hash").agg(F.min("doc_id").cast("string").alias("id"))
     return resolution.exact_matches(rows, known).select("doc_id", "entity_id")
 
@@ -731,7 +826,7 @@ def noise_at_10(spark, d) -> DataFrame:
 
 @query(f"WITH {EVAL} SELECT type, count(*) AS n FROM m GROUP BY type")
 def type_counts(spark, d) -> DataFrame:
-    return _evaluated(spark, d).groupBy("type").agg(F.count("*").alias("n"))
+    return evaluate.type_counts(_evaluated(spark, d))
 
 
 @query(f"""WITH {EVAL}, g AS (SELECT type, avg(p5) AS p, avg(r10) AS r FROM m GROUP BY GROUPING SETS ((), (type))),

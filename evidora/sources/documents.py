@@ -18,16 +18,23 @@ DOCUMENT = "id string, path string, title string, mime string, combined_md strin
 #: Mime types by source.
 MIMES = {"md": "text/markdown", "pdf": "application/pdf", "ocr": "application/pdf"}
 LEAST_PDF_CHARS = 200
+#: Fixed value: the largest file that is ingested.
+LARGEST_FILE = 100 * 1024 * 1024
 
 
 class SourceError(ValueError):
     """A document that can't be read as its source says."""
 
 
+class ServerError(RuntimeError):
+    """An embedder's answer that its server failed (a status of 500 or above): worth another try."""
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """(path, content, folder, stem, kind) of the Markdown and PDF files below ``path``; a missing path is an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[mM][dD],[pP][dD][fF],[jJ][sS][oO][nN]}").load(path)
-    files = files.select("path", "content")
+    large = F.when(F.col("length") > LARGEST_FILE, F.raise_error(F.concat(F.col("path"), F.lit(" is larger than 100 MB")))).otherwise(F.col("path"))
+    files = files.select(large.alias("path"), "content")
     name = F.element_at(F.split("path", "/"), -1)
     folder = F.substring_index("path", "/", -1)
     return files.withColumns({"folder": F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)))"), "stem": F.regexp_replace(name, r"\.[^.]*$", ""), "kind": F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1))}).withColumn("name", folder)
@@ -205,7 +212,7 @@ def embedded(rows: DataFrame, embed: Callable[[list[str]], list], dim: int, batc
                     try:
                         vectors = embed(texts)
                         break
-                    except ConnectionError:
+                    except (ConnectionError, TimeoutError, ServerError):
                         if k + 1 == tries:
                             raise
                 if any(len(v) != dim for v in vectors):

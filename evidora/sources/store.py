@@ -1,4 +1,4 @@
-"""Versioned Parquet tables: each write is a new version, and a small pointer file says which one counts."""
+"""Versioned Parquet tables: each write is a new version, and the last of a list of small files says which one counts."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import finite
 from ..schemas import CLUSTERED, EDGES, EMBEDDED, EXTRACTED, NODES, TABLES
 
 
@@ -32,25 +33,33 @@ class Store:
         finally:
             stream.close()
 
-    def write_text(self, path: str, text: str) -> None:
-        """Write a small file beside its place, then rename it there."""
-        fs, p = self._file(path)
-        _, t = self._file(f"{path}.{uuid.uuid4().hex}")
-        stream = fs.create(t, True)
+    def _versions(self, name: str) -> list[int]:
+        fs, p = self._file(f"{self.path}/{name}/_versions")
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()) if fs.exists(p) else []
+
+    def latest(self, name: str) -> str | None:
+        """What the last commit of this name says; an empty text, as no commit at all, is None."""
+        found = self._versions(name)
+        return (self._read_text(f"{self.path}/{name}/_versions/{found[-1]:012d}") or None) if found else None
+
+    def commit(self, name: str, text: str) -> None:
+        """Write a small file beside its place, then rename it to the next number. No version is ever overwritten, so a
+        reader finds the old one or the new one, whatever breaks off; of two writers at once one fails."""
+        n = ([0] + self._versions(name))[-1] + 1
+        fs, final = self._file(f"{self.path}/{name}/_versions/{n:012d}")
+        _, draft = self._file(f"{self.path}/{name}/_versions/.{uuid.uuid4().hex}")
+        stream = fs.create(draft, True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(t, p)
-
-    def version(self, name: str) -> str | None:
-        return self._read_text(f"{self.path}/{name}/CURRENT")
+        if fs.exists(final) or not fs.rename(draft, final):
+            fs.delete(draft, False)
+            raise RuntimeError(f"{name} was changed by another writer")
 
     def table(self, name: str) -> DataFrame:
         schema = TABLES[name][1]
-        current = self.version(name)
+        current = self.latest(name)
         if current is None:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{current}")
@@ -60,9 +69,20 @@ class Store:
         columns = [c.split(" ")[0].split(":")[0] for c in self.spark.createDataFrame([], TABLES[name][1]).columns]
         fresh = uuid.uuid4().hex
         rows.select(*columns).write.parquet(f"{self.path}/{name}/{fresh}")
-        self.write_text(f"{self.path}/{name}/CURRENT", fresh)
+        self.commit(name, fresh)
         return self.table(name)
 
+    def vacuum(self) -> int:
+        """Delete rows of versions that no longer count, and work tables; only while nothing reads them."""
+        gone = 0
+        for name in [*TABLES, *(f"{t}-new" for t in TABLES), "work"]:
+            fs, p = self._file(f"{self.path}/{name}")
+            keep = {"_versions", self.latest(name) if name in TABLES else None}
+            for f in fs.listStatus(p) if fs.exists(p) else []:
+                if f.getPath().getName() not in keep:
+                    gone += fs.delete(f.getPath(), True)
+        return gone
+
     def upsert(self, name: str, rows: DataFrame) -> DataFrame:
         """Nodes by key: columns that the rows have overwrite, others stay."""
         key, _ = NODES[name]
@@ -70,9 +90,8 @@ class Store:
 
     def add_edges(self, name: str, rows: DataFrame) -> DataFrame:
         """Add edges that aren't there yet and return them; existing ones stay as they are."""
-        keys = list(EDGES[name][0])
         old = self.table(name)
-        new = rows.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
+        new = new_edges(old, rows, list(EDGES[name][0]))
         fresh = uuid.uuid4().hex
         new.select(*old.columns).write.parquet(f"{self.path}/{name}-new/{fresh}")
         new = self.spark.read.schema(old.schema).parquet(f"{self.path}/{name}-new/{fresh}")
@@ -80,11 +99,17 @@ class Store:
         return new
 
 
+def new_edges(old: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each edge that isn't there yet."""
+    return rows.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """A full outer join: where a new row exists its listed columns count, nulls too; the rest is kept."""
     if key not in new.columns:
         raise ValueError(f"rows have no {key}")
     given = new.columns
+    new = new.withColumn(key, required(key))
     marked = new.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_n_{c}") for c in given if c != key], F.lit(True).alias("_new"))
     rows = old.join(marked, old[key] == marked["_k"], "full")
     columns = []
@@ -98,12 +123,18 @@ def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return rows.select(*columns)
 
 
+def required(*columns: str) -> Column:
+    """The first column, or an error where one of them is null."""
+    missing = F.lit(False)
+    for c in columns:
+        missing = missing | F.col(c).isNull()
+    return F.when(missing, F.raise_error(F.lit(f"payload without {' or '.join(columns)}"))).otherwise(F.col(columns[0]))
+
+
 def split_payload(rows: DataFrame, key: str, vector: str | None = None) -> DataFrame:
     """(key, props as a struct, vector): rows without a key or vector are an error."""
-    missing = F.col(key).isNull() | (F.col(vector).isNull() if vector else F.lit(False))
-    checked = F.when(missing, F.raise_error(F.lit(f"payload without {key} or vector"))).otherwise(F.col(key))
     props = F.struct(*[c for c in rows.columns if c not in (key, vector)])
-    return rows.select(checked.alias(key), props.alias("props"), *([F.col(vector)] if vector else []))
+    return rows.select(required(*[c for c in (key, vector) if c]).alias(key), props.alias("props"), *([F.col(vector)] if vector else []))
 
 
 def counted(entities: DataFrame, new_edges: DataFrame) -> DataFrame:
@@ -116,9 +147,11 @@ def without_version(member_of: DataFrame, version: int) -> DataFrame:
     return member_of.filter(F.col("model_version") != version)
 
 
-def deprecated(clusters: DataFrame, ids: list[str], now: Column) -> DataFrame:
-    hit = F.col("id").isin(ids)
-    return clusters.withColumns({"deprecated": F.when(hit, True).otherwise(F.col("deprecated")), "deprecated_at": F.when(hit, now).otherwise(F.col("deprecated_at"))})
+def deprecated(clusters: DataFrame, gone: DataFrame, now: Column) -> DataFrame:
+    """Clusters, those in ``gone`` (id) marked."""
+    rows = clusters.join(gone.select("id", F.lit(True).alias("_gone")).distinct(), "id", "left")
+    hit = F.col("_gone").isNotNull()
+    return rows.withColumns({"deprecated": F.when(hit, True).otherwise(F.col("deprecated")), "deprecated_at": F.when(hit, now).otherwise(F.col("deprecated_at"))}).drop("_gone")
 
 
 def moved(status: DataFrame, ids: DataFrame, stage: str, now: Column) -> DataFrame:
@@ -144,15 +177,23 @@ def pending(chunks: DataFrame, status: DataFrame, stage: str = EMBEDDED, chunk_i
 
 
 def vector_rows(rows: DataFrame, dim: int, strict: bool) -> DataFrame:
-    """(id, embedding) in the order of ids, nulls left out. ``strict``: another size or a component that isn't finite
-    is an error; else rows of another size are left out."""
+    """(id, embedding), nulls left out. ``strict``: another size or a component that isn't finite is an error; else such
+    rows are left out."""
     rows = rows.select("id", "embedding").filter("embedding is not null")
+    good = (F.size("embedding") == dim) & finite(F.col("embedding"))
     if not strict:
-        return rows.filter(F.size("embedding") == dim).orderBy("id")
-    bad = (F.size("embedding") != dim) | F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return rows.withColumn("embedding", F.when(bad, F.raise_error(F.concat(F.lit("unusable embedding of "), F.col("id")))).otherwise(F.col("embedding"))).orderBy("id")
+        return rows.filter(good)
+    return rows.withColumn("embedding", F.when(good, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("unusable embedding of "), F.col("id")))))
+
+
+HEAD = 240
+
+
+def catalog_rows(chunks: DataFrame) -> DataFrame:
+    """Chunk fields and the heads of their texts."""
+    return chunks.select("id", "doc_id", "section_path", "page_start", "page_end", "token_count", F.substring("text", 1, HEAD).alias("head"))
 
 
 def catalog(chunks: DataFrame, path: str) -> None:
-    """Chunk fields and the head of their texts as JSON lines, in the order of section and id."""
-    chunks.select("id", "doc_id", "section_path", "page_start", "page_end", "token_count", F.substring("text", 1, 240).alias("head")).orderBy("section_path", "id").write.mode("overwrite").json(path)
+    """The catalog as JSON lines, in the order of section and id."""
+    catalog_rows(chunks).orderBy("section_path", "id").write.mode("overwrite").json(path)

@@ -169,10 +169,99 @@ def test_engine_end_to_end(spark, tmp_path):
     assert e.undo_clusters(dry_run=True)["clustered"] >= 1
     with pytest.raises(ValueError):
         e.undo_clusters()
+    again = e.refit(force=True)
+    assert again["state"] == "REFITTED" and e._t("cluster").filter("not deprecated").agg({"persistence": "min"}).first()[0] > 0
     e.undo_clusters(yes=True)
     assert e._t("cluster").count() == 0 and {r["stage"] for r in e._t("ingest_status").collect()} == {"EMBEDDED", "EXTRACTED"}
 
 
+def test_a_break_between_tables_loses_nothing(spark, tmp_path, monkeypatch):
+    """Whatever breaks off, readers find the old rows or the new ones, and a document is taken again until all of it is there."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# A\n\nsome text\n")
+    e = Engine(spark, str(tmp_path / "store"), embed, None, Settings(embedding_dim=16))
+    whole = e.store.upsert
+    monkeypatch.setattr(e.store, "upsert", lambda name, rows: (_ for _ in ()).throw(OSError("gone")) if name == "ingest_status" else whole(name, rows))
+    with pytest.raises(OSError):
+        e.ingest(f"file://{tmp_path}/in")
+    assert e._t("text_chunk").count() == 1 and e._t("document").count() == 0
+    monkeypatch.undo()
+    assert e.ingest(f"file://{tmp_path}/in") == {"documents": 1, "chunks": 1} and e._t("text_chunk").count() == 1
+    commit = e.store.commit
+    monkeypatch.setattr(e.store, "commit", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        e.store.replace("document", e._t("document").limit(0))
+    assert e._t("document").count() == 1
+    monkeypatch.setattr(e.store, "commit", commit)
+    monkeypatch.setattr(e.store, "_versions", lambda name: [])  # as a writer that has seen no version yet
+    with pytest.raises(RuntimeError):
+        e.store.commit("document", "other")
+    monkeypatch.undo()
+    assert e.store.vacuum() > 0 and e._t("document").count() == 1 and e._t("text_chunk").count() == 1
+
+
+def test_adjudication_flow(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"), embed, None, Settings(embedding_dim=16))
+    names = {"k": "Insulin", "p": "Insuline", "q": "insulin B", "r": "Glucose"}
+    e.store.upsert("entity", spark.createDataFrame([(i, n, i, "DRUG", [], 1, i in "pqr") for i, n in names.items()], "id string, canonical_name string, name_hash string, entity_type string, aliases array<string>, mention_count int, provisional boolean"))
+    e.store.add_edges("sourced_from", spark.createDataFrame([("k", "c1", 1.0, None), ("p", "c1", 1.0, None), ("p", "c2", 1.0, None), ("q", "c3", 1.0, None)], "entity_id string, chunk_id string, confidence double, created_at timestamp"))
+    e.store.add_edges("member", spark.createDataFrame([("h", "q", 0), ("h", "r", 1)], "hyperedge_id string, node_id string, rank int"))
+    e.store.upsert("adjudication_task", spark.createDataFrame([("1", "PENDING", "k", "p"), ("2", "PENDING", "p", "q"), ("3", "PENDING", "k", "r")], "id string, status string, candidate_id string, provisional_id string"))
+    asked = []
+
+    def decide(task):
+        asked.append((task["id"], task["candidate_id"]))
+        return json.dumps({"same_entity": task["id"] != "3", "canonical_name": "Insulin", "reason": "why"})
+
+    assert e.adjudicate(decide, batch=1, once=True) == {"merged": 1, "rejected": 0}
+    assert e.adjudicate(decide, batch=1) == {"merged": 1, "rejected": 1}
+    assert asked == [("1", "k"), ("2", "k"), ("3", "k")]  # what waited for a merged entity goes to where that went
+    left = {r["id"]: r for r in e._t("entity").collect()}
+    assert set(left) == {"k", "r"} and set(left["k"]["aliases"]) == {"Insulin", "Insuline", "insulin B"} and not left["r"]["provisional"]
+    assert sorted((r["entity_id"], r["chunk_id"]) for r in e._t("sourced_from").collect()) == [("k", "c1"), ("k", "c2"), ("k", "c3")]
+    assert sorted((r["node_id"], r["rank"]) for r in e._t("member").collect()) == [("k", 0), ("r", 1)]
+    assert {r["id"]: r["status"] for r in e._t("adjudication_task").collect()} == {"1": "MERGED", "2": "MERGED", "3": "REJECTED"}
+
+
+def test_prompts_and_forms():
+    from evidora.sources import prompts
+
+    good = {"entities": [{"name": "a", "type": "DRUG"}], "triples": [{"source": "a", "relation": "is", "target": "b", "confidence": 1}]}
+    assert prompts.conforms(good, prompts.EXTRACTION_SCHEMA)
+    for bad in ({}, good | {"more": 1}, good | {"entities": [{"name": "a", "type": "ANY"}]}, good | {"triples": [{"source": "a"}]}, []):
+        assert not prompts.conforms(bad, prompts.EXTRACTION_SCHEMA)
+    seen = []
+
+    def send(prompt, **how):
+        seen.append((prompt, how))
+        return json.dumps({"same_entity": True, "canonical_name": "x", "reason": ""} if len(seen) > 1 else {"same_entity": "yes"})
+
+    assert json.loads(model.adjudicator(send, per_minute=0)({"candidate_name": "x", "context": None}))["same_entity"] and len(seen) == 2
+    assert "candidate_name: x" in seen[0][0] and seen[0][1]["schema"] == prompts.ADJUDICATION_SCHEMA and "JSON" in seen[0][1]["system"]
+    assert model.extractor(lambda p, **_: json.dumps(good), per_minute=0)("text")
+
+
+def test_files_that_are_too_large(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "LARGEST_FILE", 10)
+    (tmp_path / "a.md").write_text("# more than ten bytes")
+    with pytest.raises(Exception, match="larger"):
+        documents.scan(spark, f"file://{tmp_path}").select("path").collect()
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+
+    from evidora.__main__ import main
+
+    monkeypatch.setenv("EMBEDDING_DIM", "16")
+    (tmp_path / "gold.jsonl").write_text(json.dumps({"id": "e1", "type": "exact", "question": "q", "relevant_chunk_ids": ["gone"]}) + "\n")
+    monkeypatch.setattr("pyspark.sql.SparkSession.builder.getOrCreate", lambda *a: spark, raising=False)
+    at = [str(tmp_path / "store"), "--embed", f"{__name__}:embed"]
+    assert main([*at, "check-gold", str(tmp_path / "gold.jsonl"), "--count", "exact=2"]) == 1
+    assert {p["problem"] for p in json.loads(capsys.readouterr().out)["problems"]} == {"unknown chunk", "count of type"}
+    assert main([*at, "health"]) == 0 and json.loads(capsys.readouterr().out)["clusters"] == "bootstrap"
+    assert main([*at, "vacuum"]) == 0 and main([*at, "seeds", str(tmp_path / "gold.jsonl")]) == 0
+
+
 def test_model_calls_are_repeated_and_spaced():
     answers, waits, now = iter(["nonsense", "[]", '{"entities": []}']), [], [0.0]
     m = model.JsonModel(lambda prompt, **_: next(answers), lambda t: t, per_minute=20, sleep=lambda s: (waits.append(s), now.__setitem__(0, now[0] + s)), clock=lambda: now[0])

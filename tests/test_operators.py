@@ -96,7 +96,10 @@ def test_expansion_keeps_the_beam(spark):
     nodes, arcs = graph.expand(seeds, params, sourced, member_of, edges, members, 1)
     assert rows(nodes, "id") == [("c1",), ("c2",), ("e1",)]
     assert arcs.count() == 2
-    assert graph.ceiling(4, 1, 1) == 25 and graph.ceiling(16, 3, 10) == 202
+    lit = [F.lit(x) for x in (4, 1, 1, 16, 3, 10)]
+    assert tuple(spark.range(1).select(graph.ceiling(*lit[:3]), graph.ceiling(*lit[3:])).first()) == (25, 202)
+    with pytest.raises(Exception, match="ceiling"):
+        graph.guarded(spark.createDataFrame([("q", str(i)) for i in range(9)], "query_id string, id string"), spark.createDataFrame([("q", "0")], "query_id string, id string"), spark.createDataFrame([("q", 1, 1)], "query_id string, depth int, beam int")).count()
 
 
 def test_hyperedges_drop_remainders(spark):
@@ -125,7 +128,9 @@ def test_source_header(spark):
 
 
 def test_cluster_arithmetic(spark):
-    assert [clusters.min_cluster_size(n) for n in (10_000, 100, 0, -1)] == [50, 15, 15, 15]
+    n = spark.createDataFrame([(10_000,), (100,), (0,), (40_001,)], "n long")
+    assert [r[0] for r in n.select(clusters.min_cluster_size(F.col("n"))).collect()] == [50, 15, 15, 100]
+    assert n.select(clusters.min_cluster_size(F.col("n"), 7)).first()[0] == 7
     data = [("n", i, p) for i, p in enumerate([0.10, 0.40, 0.40, 0.05, float("nan")])]
     out = clusters.top_memberships(spark.createDataFrame(data, "node_id string, label int, probability double"))
     assert rows(out, "rank", "label", "probability") == [(0, 1, 0.40), (1, 2, 0.40)]
@@ -167,15 +172,51 @@ def test_resolution_bands(spark):
     assert out == [("c1", 0, "EXACT", "k1"), ("c1", 1, "AUTO_MERGE", "k1"), ("c2", 0, "PROVISIONAL", "hc"), ("c2", 1, "NEW", "hd"), ("c3", 0, "EXACT", "hd")]
 
 
+def test_resolution_against_one_after_another(spark):
+    """Groups of connected names give what a plain loop over all names and entities gives."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 6))
+    x = centres[rng.integers(0, 12, 160)] + 0.35 * rng.normal(size=(160, 6))
+    kinds = [("DRUG", "GENE")[i] for i in rng.integers(0, 2, 160)]
+    known = [(f"k{i}", f"hk{i}", kinds[i], x[i].tolist()) for i in range(20)]
+    new = [(f"c{i:03d}", 0, f"n{i}", kinds[i], f"h{i}", x[i].tolist()) for i in range(20, 160)]
+    out = resolution.resolve(spark.createDataFrame(new, "chunk_id string, position int, name string, entity_type string, name_hash string, embedding array<double>"), spark.createDataFrame(known, "id string, name_hash string, entity_type string, embedding array<double>"), 3, 0.95, 0.85)
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    entities = [(i, k, unit(v)) for i, _, k, v in known]
+    expected = []
+    for chunk, _, _, kind, h, v in new:
+        near = sorted((-float(e @ unit(v)), i, k) for i, k, e in entities)[:3]
+        best = next((n for n in near if n[2] == kind and -n[0] >= 0.85), None)
+        outcome = "NEW" if best is None else "AUTO_MERGE" if -best[0] >= 0.95 else "PROVISIONAL"
+        expected.append((chunk, outcome, best[1] if outcome == "AUTO_MERGE" else h))
+        if outcome != "AUTO_MERGE":
+            entities.append((h, kind, unit(v)))
+    assert {e[1] for e in expected} == {"NEW", "AUTO_MERGE", "PROVISIONAL"}
+    assert rows(out, "chunk_id", "outcome", "entity_id") == expected
+
+
+def test_vectors_that_are_not_finite_take_no_part(spark):
+    x = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [float("nan"), 1.0]), ("c", [float("inf"), 0.0]), ("d", [2.0])], "id string, embedding array<double>")
+    q = spark.createDataFrame([("1", [1.0, 0.0]), ("2", [3.0])], "query_id string, embedding array<double>")
+    assert rows(search.vector_topk(x, q, 5), "query_id", "id") == [("1", "a"), ("2", "d")]
+
+
+def test_unit_vectors_and_persistence(spark):
+    df = spark.createDataFrame([(0, "a", [3.0, 4.0]), (0, "b", [0.0, 5.0]), (1, "c", [1.0, 0.0])], "cluster_id int, id string, embedding array<double>")
+    assert df.select(vectors.l2_normalized(F.col("embedding"))).first()[0] == [0.6, 0.8]
+    got = dict(rows(clusters.persistence(df), "cluster_id", "persistence"))
+    assert got[1] == pytest.approx(1.0) and got[0] == pytest.approx(math.hypot(0.6, 1.8) / 2)
+
+
 def test_adjudication(spark):
     e = spark.createDataFrame([("k", "Insulin", "h1", "DRUG", ["ins"], 3, False), ("p", "insuline", "h2", "DRUG", [], 1, True)], "id string, canonical_name string, name_hash string, entity_type string, aliases array<string>, mention_count int, provisional boolean")
     merges = spark.createDataFrame([("p", "k", "Insulin")], "provisional_id string, candidate_id string, canonical_name string")
     row = resolution.merged_entities(e, merges).first()
-    assert row["id"] == "k" and set(row["aliases"]) == {"ins", "insuline"} and row["mention_count"] == 3
+    assert row["id"] == "k" and set(row["aliases"]) == {"ins", "insuline", "Insulin"} and row["mention_count"] == 3 and not row["provisional"]
     edges = spark.createDataFrame([("k", "c1"), ("p", "c1"), ("p", "c2")], "entity_id string, chunk_id string")
     assert rows(resolution.merged(edges, merges.drop("canonical_name"), "entity_id", ["entity_id", "chunk_id"]), "entity_id", "chunk_id") == [("k", "c1"), ("k", "c2")]
     tasks = spark.createDataFrame([("t", "p", "PENDING", None)], "id string, provisional_id string, status string, reason string")
-    refused = spark.createDataFrame([("p", "different")], "provisional_id string, reason string")
+    refused = spark.createDataFrame([("t", "p", "different")], "id string, provisional_id string, reason string")
     entities, tasks = resolution.rejected(e, tasks, refused)
     assert tasks.first()["status"] == "REJECTED" and not any(r["provisional"] for r in entities.collect())
 
@@ -215,7 +256,7 @@ def test_vector_search_in_blocks(spark, monkeypatch):
     x = rng.normal(size=(60, 8))
     df = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], "id string, embedding array<double>")
     q = df.limit(10).withColumnRenamed("id", "query_id")
-    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "QUERY_BYTES", 200)
     got = rows(search.vector_topk(df, q, 4), "query_id", "id")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = np.argsort(-(u[:10] @ u.T), axis=1)[:, :4]
@@ -227,9 +268,9 @@ def test_hybrid_keeps_keyword_hits_beyond_dense(spark):
     q = spark.createDataFrame([("1", [1.0, 0.0]), ("2", [0.0, 2.0])], "query_id string, embedding array<double>")
     dense = search.vector_topk(x, q, 1)
     keyword = spark.createDataFrame([("1", "c", 1), ("1", "d", 2), ("1", "b", 3), ("1", "e", 4)], "query_id string, id string, rank int")
-    out = search.hybrid_hits(dense, keyword, 4, 60, x, q)
-    assert [(a, b, round(c, 9), r) for a, b, c, r in rows(out, "query_id", "id", "similarity", "rank")] == [("1", "a", 1.0, 1), ("1", "b", 0.8, 3), ("1", "c", 0.0, 2), ("2", "c", 1.0, 1)]
-    assert rows(search.hybrid_hits(dense, keyword, 2, 60, x, q).filter("query_id = '1'"), "id", "rank") == [("a", 1), ("c", 2)]
+    out = search.hybrid_hits(dense, keyword, 4, x, q, 60)
+    assert [(a, b, round(c, 9), r) for a, b, c, r in rows(out, "query_id", "id", "similarity", "rank")] == [("1", "a", 1.0, 1), ("1", "b", 0.8, 4), ("1", "c", 0.0, 2), ("2", "c", 1.0, 1)]
+    assert rows(search.hybrid_hits(dense, keyword, 2, x, q, 60).filter("query_id = '1'"), "id", "rank") == [("a", 1), ("c", 2)]
 
 
 def test_greedy_remap_takes_all_pairs(spark, tmp_path):
