@@ -226,7 +226,7 @@ def descend(asked: DataFrame, forest, levels: list[DataFrame], visits: int) -> D
     """
     vector = asked.schema["query"].dataType.simpleString()
     schema = f"query_id long, query {vector}, cell long, margin double"
-    spread = asked.repartition(shuffle_parts(asked.sparkSession), "query_id")  # few bytes, but each takes a search
+    spread = asked.repartition(shuffle_parts(asked.sparkSession), F.xxhash64("query_id"))  # few bytes, but each takes a search
     queue = written(spread.mapInArrow(lean(_probe(forest, visits)), schema), "queue")
     by_query = W.partitionBy("query_id")
     place = F.row_number().over(by_query.orderBy("margin", "cell"))
