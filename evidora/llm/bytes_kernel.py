@@ -22,9 +22,19 @@ def kept(name: str, make: Callable):
     return _kept[name]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers and the driver live on and share their machines' memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def lean(run: Callable, keep: str = "") -> Callable:
     """A function over batches that first drops what other operators kept in this worker, and at its end gives freed
-    memory back, since workers live on and share an executor's memory."""
+    memory back."""
 
     def wrapped(batches):
         for name in [k for k in _kept if not keep or not k.startswith(keep)]:
@@ -32,15 +42,11 @@ def lean(run: Callable, keep: str = "") -> Callable:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            give_back()
 
     return wrapped
 
+
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACE_CODE = _rng.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

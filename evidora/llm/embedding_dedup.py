@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .bytes_kernel import STEP, binary_rows, fixed_binary, lean, mix, step
 from .common import table, written
-from .near_links import GROWTH, candidate_links, clusters, exact_links, in_blocks
+from .near_links import GROWTH, LINK, candidate_links, clusters, exact_links, in_blocks
 from .ngram_join import resolved
 
 COSINE, RECALL = 0.95, 0.985
@@ -156,7 +156,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         F.struct(F.min(F.coalesce("vec_id", F.lit(2**63 - 1))).alias("id"), F.lit(0).cast("long").alias("tk")).alias("low"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")
     )
     classes = written(classes, "vectors")
-    links = vectors.sparkSession.createDataFrame([], "a long, b long")
+    links = vectors.sparkSession.createDataFrame([], LINK)
     for r in classes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect():  # as few as there are models
         lines, n_tables = tables_for(r["n"])
         own = classes.filter(F.size("embedding") == r["dim"]).select("node", "embedding")

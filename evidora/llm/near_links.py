@@ -25,11 +25,19 @@ from .common import components, roots, shuffle_parts, whole_groups, written
 #: Rows of a bucket that is compared pair by pair, and how many times as many in each further round: what has stayed
 #: together through several rounds is alike, and splitting it on would copy its rows more often than comparing costs.
 SMALL, GROWTH = 16, 8
+LINK = "a long, b long, sure boolean"
 #: Nodes and units of payload in a block of a cluster.
 BLOCK, UNITS = 1024, 2_000_000
 
 
-def _pairs(width: int, near: Callable, window: float | None):
+def _stars(links: np.ndarray, sure: bool) -> pa.RecordBatch:
+    """What links connect stays so by links to the smallest node."""
+    nodes, low = roots(links[:, 0], links[:, 1])
+    at = nodes != low
+    return pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(low[at]), pa.array(np.full(at.sum(), sure))], names=["a", "b", "sure"])
+
+
+def _pairs(width: int, near: Callable, sure: Callable | None, window: float | None):
     """Links in small buckets: each row against the one 1, 2, ... places on while the path is the same and, on a sorted
     line, the window centred on the row reaches so far."""
 
@@ -38,7 +46,7 @@ def _pairs(width: int, near: Callable, window: float | None):
             path, node = batch.column("path").to_numpy(), batch.column("node").to_numpy()
             at = batch.column("at").to_numpy() if window is not None else None
             sketch = fixed_binary(batch.column("sketch"), width)
-            found = [np.zeros((0, 2), np.int64)]
+            found, certain = ([np.zeros((0, 2), np.int64)] for _ in range(2))
             i = np.arange(len(path))
             step = 0
             while True:
@@ -53,17 +61,19 @@ def _pairs(width: int, near: Callable, window: float | None):
                     a = i[lo : lo + 65_536]
                     hit = a[near(sketch[a], sketch[a + step])]
                     found.append(np.stack([node[hit], node[hit + step]], 1))
-            links = np.concatenate(found)
-            if len(links):  # what is connected in a whole bucket stays so by links to its smallest node
-                nodes, low = roots(links[:, 0], links[:, 1])
-                at_ = nodes != low
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[at_]), pa.array(low[at_])], names=["a", "b"])
+                    if sure is not None:
+                        hit = hit[sure(sketch[hit], sketch[hit + step])]
+                        certain.append(np.stack([node[hit], node[hit + step]], 1))
+            for links, kind in ((np.concatenate(found), False), (np.concatenate(certain), True)):
+                if len(links):
+                    yield _stars(links, kind)
 
     return run
 
 
-def _against_leader(width: int, linked: Callable, covered: Callable, split: Callable, depth: int):
-    """Rows of large buckets against the bucket's leader: kind 0 are links (node, leader), kind 1 rows of new paths."""
+def _against_leader(width: int, linked: Callable, covered: Callable, sure: Callable | None, split: Callable, depth: int):
+    """Rows of large buckets against the bucket's leader: kind 0 are links (node, leader), kind 2 such that are sure,
+    kind 1 rows of new paths."""
 
     def run(batches):
         for batch in batches:
@@ -77,7 +87,8 @@ def _against_leader(width: int, linked: Callable, covered: Callable, split: Call
             new = split(path[go], sketch[go], depth)
             k = new.shape[1]
             again = np.repeat(go, k)
-            kinds = np.concatenate([np.zeros(len(link), np.int32), np.ones(len(again), np.int32)])
+            certain = sure(sketch[link], lead[link]) if sure is not None else np.zeros(len(link), bool)
+            kinds = np.concatenate([np.where(certain, 2, 0), np.ones(len(again), int)]).astype(np.int32)
             out_path = np.concatenate([leader[link], new.ravel()])
             out_node = np.concatenate([node[link], node[again]])
             out_sketch = np.concatenate([np.zeros((len(link), width), np.uint8), sketch[again]])
@@ -97,11 +108,12 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("n") <= BLOCK).unionByName(many)
 
 
-def candidate_links(rows: DataFrame, width: int, near: Callable, linked: Callable, covered: Callable, split: Callable, window: float | None = None, small: int = SMALL) -> DataFrame:
-    """Links (a, b) from rows (path, node, sketch of ``width`` bytes); a path has a node once.
+def candidate_links(rows: DataFrame, width: int, near: Callable, linked: Callable, covered: Callable, split: Callable, window: float | None = None, small: int = SMALL, sure: Callable | None = None) -> DataFrame:
+    """Links (a, b, sure) from rows (path, node, sketch of ``width`` bytes); a path has a node once.
 
-    near, linked, covered: of two arrays of sketches, which pairs may be near; may be near to something the second
-    stands for; are stood for by the second. split(paths, sketches, round): new paths of each row, one row each.
+    near, linked, covered, sure: of two arrays of sketches, which pairs may be near; may be near to something the
+    second stands for; are stood for by the second; look near enough for recall to be measured on them. split(paths,
+    sketches, round): new paths of each row, one row each.
     With ``window``, rows have a place ``at`` too, buckets are sorted by it, and pairs lie within the window.
     """
     spark = rows.sparkSession
@@ -117,21 +129,21 @@ def candidate_links(rows: DataFrame, width: int, near: Callable, linked: Callabl
         most = small * GROWTH ** (depth - 1)
         full = written(full, f"full{depth}")
         compared = _dealt(full.filter(F.col("n") <= most)).select(*columns).repartition(parts, "path").sortWithinPartitions(*sorted_by)
-        found = compared.mapInArrow(lean(_pairs(width, near, window)), "a long, b long")
+        found = compared.mapInArrow(lean(_pairs(width, near, sure, window)), LINK)
         large = full.filter(F.col("n") > most)
         if large.limit(1).count() == 0:
             return found if links is None else links.union(found)
         lead = large.filter("node = leader").select("path", F.col("sketch").alias("lead"))
         step = large.join(lead, "path").select(*columns, "leader", "lead")
-        step = written(step.mapInArrow(lean(_against_leader(width, linked, covered, split, depth)), f"kind int, path long, node long, sketch binary{more}"), f"step{depth}")
-        found = found.union(step.filter("kind = 0").select(F.col("node").alias("a"), F.col("path").alias("b")))
+        step = written(step.mapInArrow(lean(_against_leader(width, linked, covered, sure, split, depth)), f"kind int, path long, node long, sketch binary{more}"), f"step{depth}")
+        found = found.union(step.filter("kind <> 1").select(F.col("node").alias("a"), F.col("path").alias("b"), (F.col("kind") == 2).alias("sure")))
         links = found if links is None else links.union(found)
         rows = step.filter("kind = 1").select(*columns).dropDuplicates(["path", "node"])
 
 
 def clusters(links: DataFrame) -> DataFrame:
     """(node, cluster) of the nodes that have a candidate link."""
-    return components(links).withColumnRenamed("component", "cluster")
+    return components(links.select("a", "b")).withColumnRenamed("component", "cluster")
 
 
 def in_blocks(members: DataFrame, block: int = BLOCK, units: int = UNITS) -> DataFrame:
