@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytes_kernel import LOWER, WORD_BYTE, binary_rows, fixed_binary, lean, slices
+from .bytes_kernel import LOWER, WORD_BYTE, binary_rows, fixed_binary, give_back, lean, slices
 from .common import small_batches, table
 
 BUCKETS, ORDERS = 2048, (1, 2, 3)
@@ -153,7 +153,10 @@ def train(docs: DataFrame) -> Model:
     rows = chosen.select("lang", "h", "text").mapInArrow(lean(_vectors), "lang string, h long, x binary")
     rows = rows.groupBy("h").agg(F.min("lang").alias("lang"), F.first("x").alias("x")).orderBy("h").limit(TEXTS).toArrow()
     x = fixed_binary(rows.column("x").combine_chunks(), BUCKETS * len(ORDERS), np.float16).astype(np.float32)
-    return fit(x, rows.column("lang").to_pylist())
+    model = fit(x, rows.column("lang").to_pylist())
+    del x, rows
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
