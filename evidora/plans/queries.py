@@ -222,6 +222,11 @@ def soft_core(spark, d) -> DataFrame:
     return search.soft_core(s1, s3).select("query_id", "id", r6("score"))
 
 
+@query(f"WITH {HITS} SELECT query_id, id, round(similarity, 6) AS similarity FROM hits WHERE rank <= 5")
+def core_topk(spark, d) -> DataFrame:
+    return scores.top(fx.hits(spark, d).drop("rank"), 5, "similarity").select("query_id", "id", r6("similarity"))
+
+
 @query(f"""WITH {SEEDS}, pools AS (SELECT query_id, label, id, similarity, CASE label WHEN 'Entity' THEN 'core' WHEN 'Cluster' THEN 'cluster' ELSE 'anchor' END AS pool FROM seeds),
 s AS (SELECT *, greatest(similarity, 0) / sum(greatest(similarity, 0)) OVER (PARTITION BY query_id, pool) AS share FROM pools),
 f AS (SELECT query_id, max((pool = 'core')::INT) AS co, max((pool = 'anchor')::INT) AS an, max((pool = 'cluster')::INT) AS cl FROM pools GROUP BY query_id),
@@ -739,6 +744,15 @@ def er_bands(spark, d) -> DataFrame:
     return resolution.bands(q.select("query_id").join(best, "query_id", "left"), 0.4, 0.36).select("query_id", "id", r6("similarity"), "outcome")
 
 
+@query(f"""SELECT doc_id::VARCHAR AS chunk_id, source AS name, sha256({CLEAN.format('source')} || '|CONCEPT') AS name_hash FROM documents
+UNION ALL SELECT doc_id::VARCHAR, lang, sha256({CLEAN.format('lang')} || '|LOCATION') FROM documents""")
+def mention_dedupe(spark, d) -> DataFrame:
+    """The first spelling of each name in a document; every mention is met twice, in other letters."""
+    rows = resolution.valid_entities(_payloads(spark, d), normal_form=False)
+    again = rows.withColumns({"name": F.upper("name"), "position": F.col("position") + 10})
+    return resolution.deduped_mentions(rows.unionByName(again), False).select("chunk_id", "name", "name_hash")
+
+
 @query()
 def er_resolve(spark, d) -> DataFrame:
     """All vectors as mentions named by source, resolved in the order of their ids."""
@@ -850,3 +864,6 @@ def stage_windows(spark, d) -> DataFrame:
     from ..streaming.ingest import stage_counts
 
     return stage_counts(fx.table(spark, d, "events"))
+
+
+from . import cases  # noqa: E402, F401  registers the literal cases
