@@ -137,14 +137,15 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def _counts(path: str):
+def _tokens(path: str):
+    """Each row's ids, two bytes each, and their number with the end token."""
+
     def run(batches):
         for batch in batches:
-            n = np.zeros(batch.num_rows, np.int64)
-            for lo, hi, _, edges in tokenizer(path)(batch.column("text")):
-                n[lo:hi] = np.diff(edges) + 1
-            keep = [batch.column(c) for c in ("doc_id", "tk", "skey")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(n)], names=["doc_id", "tk", "skey", "n"])
+            for lo, hi, ids, edges in tokenizer(path)(batch.column("text")):
+                raw = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((2 * edges).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
+                keep = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "tk", "skey")]
+                yield pa.RecordBatch.from_arrays([*keep, pa.array(np.diff(edges) + 1, pa.int64()), raw], names=["doc_id", "tk", "skey", "n", "tokens"])
 
     return run
 
@@ -197,7 +198,7 @@ def _cuts(at: int, n: int, length: int, total: int) -> list[int]:
     return [at, *cuts, at + n]
 
 
-def _pieces(path: str, length: int, total: int, ids: bool):
+def _pieces(length: int, total: int, ids: bool):
     full = total // length * length
     ends, place, size = [], full, length
     while place < total:
@@ -212,30 +213,28 @@ def _pieces(path: str, length: int, total: int, ids: bool):
             doc_ids = batch.column("doc_id").to_pylist()
             ats, copies = (batch.column(c).to_numpy() for c in ("at", "copies"))
             out: list[list] = [[] for _ in range(7 + ids)]
-            for lo, hi, tokens, edges in tokenizer(path)(batch.column("text")):
-                wide = tokens.astype("<u4")
-                for row in range(lo, hi):
-                    own = np.append(wide[edges[row - lo] : edges[row - lo + 1]], np.uint32(END))
-                    raw = memoryview(own.astype("<u4")).cast("B")
-                    n = len(own)
-                    for copy in range(int(copies[row])):
-                        at = int(ats[row]) + copy * n
-                        cuts = _cuts(at, n, length, total)
-                        for a, b in zip(cuts, cuts[1:], strict=False):
-                            if a < full:
-                                sequence, first = a // length, a // length * length
-                            else:
-                                k = int(np.searchsorted(starts_of, a, "right")) - 1
-                                sequence, first = full // length + k, int(starts_of[k])
-                            s = a - at
-                            values = (doc_ids[row], s, b - a, zlib.crc32(raw[4 * s : 4 * (s + b - a)]), n, sequence, a - first)
-                            for column, v in zip(out, values, strict=False):
-                                column.append(v)
-                            if ids:
-                                out[7].append(own[s : s + b - a].tolist())
-                        if len(out[0]) >= 20_000:
-                            yield _batch(out, ids)
-                            out = [[] for _ in range(7 + ids)]
+            for row, tokens in enumerate(batch.column("tokens")):
+                own = np.append(np.frombuffer(tokens.as_buffer(), "<u2"), np.uint16(END)).astype("<u4")
+                raw = memoryview(own).cast("B")
+                n = len(own)
+                for copy in range(int(copies[row])):
+                    at = int(ats[row]) + copy * n
+                    cuts = _cuts(at, n, length, total)
+                    for a, b in zip(cuts, cuts[1:], strict=False):
+                        if a < full:
+                            sequence, first = a // length, a // length * length
+                        else:
+                            k = int(np.searchsorted(starts_of, a, "right")) - 1
+                            sequence, first = full // length + k, int(starts_of[k])
+                        s = a - at
+                        values = (doc_ids[row], s, b - a, zlib.crc32(raw[4 * s : 4 * (s + b - a)]), n, sequence, a - first)
+                        for column, v in zip(out, values, strict=False):
+                            column.append(v)
+                        if ids:
+                            out[7].append(own[s : s + b - a].tolist())
+                    if len(out[0]) >= 20_000:
+                        yield _batch(out, ids)
+                        out = [[] for _ in range(7 + ids)]
             if out[0]:
                 yield _batch(out, ids)
 
@@ -258,15 +257,16 @@ def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGT
     """
     path = path or default_vocabulary()
     rows = docs.select("doc_id", F.xxhash64("text", F.col("doc_id").isNull()).alias("tk"), source_key(F.col("source")).alias("skey"), F.col("text"))
-    slim = rows.mapInArrow(lean(_counts(path), "tokenizer"), "doc_id long, tk long, skey string, n long")
-    slim = written(slim, "tokens").groupBy("doc_id", "tk").agg(F.min("skey").alias("skey"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    every = rows.mapInArrow(lean(_tokens(path), "tokenizer"), "doc_id long, tk long, skey string, n long, tokens binary")
+    every = written(every, "tokens")  # texts are tokenized once; from here on only their ids move
+    slim = every.groupBy("doc_id", "tk").agg(F.min("skey").alias("skey"), F.max("n").alias("n"), F.count("*").alias("copies"))
     plan = written(schedule(slim, weights=weights), "plan")
     total = plan.agg(F.sum(F.col("n") * F.col("copies"))).first()[0] or 0
     known = F.coalesce("doc_id", F.lit(0)).alias("id0")  # null ids differ from others in tk
-    one = rows.select(known, "tk", "text").groupBy("id0", "tk").agg(F.first("text").alias("text"))
+    one = every.select(known, "tk", "tokens").groupBy("id0", "tk").agg(F.first("tokens").alias("tokens"))
     joined = one.join(plan.select(known, "doc_id", "tk", "at", "copies"), ["id0", "tk"])
     schema = PIECE + (", ids array<long>" if ids else "")
-    return joined.select("doc_id", "text", "at", "copies").mapInArrow(lean(_pieces(path, length, total, ids), "tokenizer"), schema)
+    return joined.select("doc_id", "tokens", "at", "copies").mapInArrow(lean(_pieces(length, total, ids)), schema)
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
