@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def outermost(folders: Iterable[str]) -> Iterator[str]:
+    """Sorted folders, each ending in a slash, without those inside another: they are read with it."""
+    last = None
+    for folder in folders:
+        if last is None or not folder.startswith(last):
+            last = folder
+            yield folder
+
+
 def ingest_stream(spark: SparkSession, landing: str, checkpoint: str, engine) -> StreamingQuery:
     """Everything that has landed and isn't done yet, then stop. A batch run again finds its documents known."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(landing)
 
     def batch(rows: DataFrame, _: int) -> None:
         folders = rows.select(F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)))").alias("f")).distinct().orderBy("f")
-        for r in folders.toLocalIterator():
-            engine.ingest(r["f"])
+        for folder in outermost(r["f"] for r in folders.toLocalIterator()):
+            engine.ingest(folder)
 
     return files.select("path").writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

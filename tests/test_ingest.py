@@ -305,3 +305,10 @@ def test_stream_ingests_every_folder(spark, tmp_path, monkeypatch):
     q = ingest_stream(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/state", Recorder())
     q.awaitTermination(60)
     assert [s.rstrip("/").rsplit("/", 1)[1] for s in seen] == [f"f{i}" for i in range(7)]
+
+
+def test_folders_inside_another_are_read_once():
+    from evidora.streaming.ingest import outermost
+
+    assert list(outermost(["x/a-b/", "x/a/", "x/a/c/", "x/a/c/d/", "x/a0/", "x/b/c/"])) == ["x/a-b/", "x/a/", "x/a0/", "x/b/c/"]
+    assert list(outermost([])) == []
