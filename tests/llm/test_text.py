@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from evidora.llm import language, packing, toxicity
 from evidora.llm.queries import QUERIES
@@ -253,3 +254,35 @@ def test_packing_of_long_texts_and_clashing_columns(docs_frame, prose):
     docs = docs_frame([prose(60_000, 3), "a", None], ["s", None, "t"]).selectExpr("*", "1 as tk", "2 as at", "3 as n", "4 as skey", "5 as bucket")
     out = packing.pack_documents(docs).toPandas()
     assert set(out.doc_id) == {0, 1, 2} and out.groupby("doc_id").length.sum().equals(out.groupby("doc_id").doc_tokens.first())
+
+
+def test_toxicity_learns_from_every_row(docs_frame, spark, prose, monkeypatch):
+    """Words and languages that only rows beyond the first 1,500 of label 1, by hash, have are learned too; reruns in
+    several shards agree."""
+    ids = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    ids, plain_ids = ids[:1900], ids[1900:]
+    frame = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    late = {r["doc_id"] for r in frame.orderBy(F.xxhash64("doc_id"), "doc_id").collect()[1500:]}
+    assert len(late) == 400
+    texts = [prose(12, i) + (" vermonto" if i in late else " scumbo") for i in ids] + [prose(12, i) for i in plain_ids]
+    langs = ["de" if i in late else "en" for i in ids] + ["de" if i % 2 else "en" for i in plain_ids]
+    docs = docs_frame(texts, langs=langs, ids=[*ids, *plain_ids])
+    labels = spark.createDataFrame([(i, 1) for i in ids] + [(i, 0) for i in plain_ids], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD", 1024, raising=False)
+    model, again = toxicity.train(docs, labels), toxicity.train(docs, labels)
+    score = {word: model.scores(pa.array([f"{prose(12, 9000 + i)} {word}" for i in range(50)])) for word in ("vermonto", "scumbo", "")}
+    assert (score["vermonto"] >= 0.3).mean() > 0.95 and (score["scumbo"] >= 0.3).mean() > 0.95 and (score[""] < 0.3).mean() > 0.95
+    assert set(model.thresholds) == {"de", "en"}
+    assert np.array_equal(model.embedding, again.embedding) and (model.slope, model.shift, model.thresholds) == (again.slope, again.shift, again.thresholds)
+
+
+def test_toxicity_counts_every_row(docs_frame, spark, prose):
+    """Presence counts are those of a plain loop over all rows of both folds, odd ones too."""
+    texts = [None, "", "a", *[prose(20, i) for i in range(30)], prose(40_000, 1), "a"]
+    docs = docs_frame(texts).selectExpr("cast(pmod(doc_id, 3) as int) as shard", "cast(pmod(doc_id, 2) as int) as fold", "lang", "cast(pmod(doc_id, 5) = 0 as int) as toxic", "coalesce(text, '') as text")
+    rows = docs.mapInArrow(toxicity._to_words, "shard int, fold int, lang string, toxic int, words binary")
+    seen, expected = toxicity._presence(rows), np.zeros((2, 2, toxicity.SIZE))
+    for i, t in enumerate(texts):
+        for _, _, buckets, _ in toxicity.features(pa.array([t], pa.string())):
+            expected[i % 2, int(i % 5 == 0), np.unique(np.concatenate(buckets))] += 1
+    assert np.array_equal(seen, expected)
