@@ -211,10 +211,12 @@ def resolved(rows: DataFrame, classes: DataFrame, linked: DataFrame, edges: Data
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each class of near-duplicates, with all its columns; all documents without a word stay, rows
     equal in id and text once."""
-    keep = near_duplicates(docs).filter("kept").select("doc_id", "tk").distinct().toDF("kept_id", "kept_tk")
-    keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tk"), row_of(docs))
-    match = keyed["id"].eqNullSafe(F.col("kept_id")) & (keyed["tk"] == F.col("kept_tk"))
-    return keyed.join(keep, match, "left_semi").dropDuplicates(["id", "tk"]).select("row.*")
+    key = ["id", "missing", "tk"]
+    id_key = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("missing")]
+    keep = near_duplicates(docs).filter("kept").select(*id_key, "tk").distinct()
+    # keys without nulls, and rows made one before the join, so that whole rows are shuffled once
+    keyed = docs.select(*id_key, F.xxhash64("text").alias("tk"), row_of(docs)).dropDuplicates(key)
+    return keyed.join(keep, key, "left_semi").select("row.*")
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -210,6 +210,27 @@ def test_repeats_in_scripts_without_blanks(docs_frame):
     assert cut[5] == "" and cut[6] == texts[6] and cut[1].startswith(texts[1][:333]) and "\ufffd" not in "".join(cut)
 
 
+def test_kept_rows_are_shuffled_once(spark, docs_frame, prose):
+    """Whole rows move once, whether the join or the search for equal rows asks for it; no id is not the id 0."""
+    a, b, c = (prose(40, i) for i in range(3))
+    docs = docs_frame([a, a, b, b, c, None, None, None], ids=[None, 0, None, None, 0, None, None, 0])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on a large table
+
+    def moves(plan):
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        whole = plan.nodeName() in ("Exchange", "BroadcastExchange") and "text:string" in plan.schema().simpleString()
+        return whole + sum(map(moves, below))
+
+    try:
+        kept = ngram_join.without_near_duplicates(docs)
+        assert moves(kept._jdf.queryExecution().executedPlan().initialPlan()) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    got = [(None if r.doc_id is None else int(r.doc_id), r.text) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(0, a), (None, b), (0, c), (None, None), (0, None)], key=str)
+
+
 def test_classes_without_ids_or_of_one_id(docs_frame, prose):
     a, b, c, d = (prose(60, i) for i in range(21, 25))
     near = lambda t: t.replace(t.split()[7], "other", 1)
