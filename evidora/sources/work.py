@@ -27,6 +27,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send Python 8 MB at a time, where the session doesn't say otherwise: texts may be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "8m")
+
+
 def discard(spark: SparkSession) -> None:
     """Delete the tables that ``saved`` has made, once what was read from them is done with."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
