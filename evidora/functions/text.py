@@ -6,10 +6,12 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..sources.work import small_batches
+
 TOKEN = r"[\p{L}\p{N}_]+"
 NOT_WORD = r"[^\p{L}\p{N}_\s-]"
 
@@ -71,9 +73,13 @@ END_MARKS = ".,:;!\"'()[]{}"
 def normal_heading(text: str) -> str:
     """A heading as a key: NFKC, plain hyphens, no emphasis outside maths, lower case, no accents, single blanks, and no
     marks at the end but question marks and the end of maths."""
-    s = unicodedata.normalize("NFKC", text or "").translate(DASHES)
+    s = text or ""
+    plain = s.isascii()  # then it has no other form
+    if not plain:
+        s = unicodedata.normalize("NFKC", s).translate(DASHES)
     s = MATHS_OR_EMPHASIS.sub(lambda m: m[1] or "", s).lower()
-    s = "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
+    if not plain:
+        s = "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
     s = " ".join(s.split())
     while s.endswith(tuple(END_MARKS)) and not s.endswith("\\)"):
         s = s[:-1].rstrip()
@@ -85,4 +91,5 @@ def _headings(s: pd.Series) -> pd.Series:
 
 
 def normalize_heading(c: Column) -> Column:
+    small_batches(SparkSession.active())
     return F.pandas_udf(_headings, StringType())(c)

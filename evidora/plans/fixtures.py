@@ -106,7 +106,8 @@ def sourced_from(spark, d) -> DataFrame:
     return rows.select("entity_id", "chunk_id", (F.col("tf") / F.col("most")).alias("confidence"))
 
 
-def memberships(spark, d) -> DataFrame:
+def memberships(spark, d, found: DataFrame | None = None) -> DataFrame:
     """(query_id, id, p): the share of each label among a question's hits."""
-    rows = hits(spark, d).join(vectors(spark, d).select("id", "label"), "id")
+    found = hits(spark, d) if found is None else found
+    rows = found.join(vectors(spark, d).select("id", "label"), "id")
     return rows.groupBy("query_id", F.col("label").cast("string").alias("id")).agg((F.count("*") / float(K)).alias("p"))
